@@ -7,17 +7,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode white space as a Java regex class body. Java's own \s is ASCII only.
 WHITESPACE = (
-    r"\t-\r\x1c-\x20\x85\xa0  -     　"
+    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Text made of these characters only is its own NFKC form, so it never has to
 # visit Python: controls, ASCII and the Latin letters without compatibility forms.
 NFKC_STABLE = (
-    "^[\\x00-\\x9f¡-§©«-®°±¶·»¿-ı"
-    "Ĵ-ľŁ-ňŊ-ž]*$"
+    r"^[\x00-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131"
+    r"\u0134-\u013e\u0141-\u0148\u014a-\u017e]*$"
 )
 
 # Unit tokens dropped from product names.
@@ -84,7 +85,7 @@ def text_template(
     return F.concat(F.lit(prefix), body)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

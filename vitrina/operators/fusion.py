@@ -31,7 +31,7 @@ def fuse_join(lexical: DataFrame, vector: DataFrame, shared: list[str] = ()) ->
 def _cut(scored: DataFrame, k: int | None) -> DataFrame:
     # Equal scores keep lexical order, then vector order.
     order = [
-        F.desc("hybrid_score"), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("vec_rank"), F.asc("id"),
+        F.desc(F.round("hybrid_score", 12)), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("vec_rank"), F.asc("id"),
     ]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

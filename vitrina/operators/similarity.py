@@ -214,6 +214,10 @@ def against(
     schema_arrow = _arrow_schema(spark, schema)
     small = right.limit(bound + 1).toArrow()
     if small.num_rows <= bound:
+        if pooled:
+            # At most ``bound`` values; prunes the files of a table partitioned by pool.
+            left = left.where(F.col("pool").isin(small.column("pool").unique().to_pylist()))
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fixed = make_block(small)
             for batch in batches:

@@ -59,6 +59,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Short requests in the invented words of the documents, asked besides the benchmark items.
+SHORT_QUERIES = ["ción mente", "ciónado ciónos", "tion thon", "that with from"]
+
+
 def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, text): the benchmark items as search requests."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """(query_id, text): the benchmark items as search requests, and the short ones."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    short = spark.createDataFrame(
+        [(1_000_000 + i, text) for i, text in enumerate(SHORT_QUERIES)], "query_id long, text string"
+    )
+    return items.unionByName(short)

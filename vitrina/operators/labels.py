@@ -69,16 +69,15 @@ def filter_separation(df: DataFrame, label: Column | str) -> DataFrame:
     total = per_label.agg(
         F.sum("n").alias("rows"),
         F.count("*").cast("double").alias("labels"),
-        (F.sum(F.col("__intra") * F.col("__weight")) / F.sum("__weight")).alias("intra_mean"),
+        F.try_divide(F.sum(F.col("__intra") * F.col("__weight")), F.sum("__weight")).alias("intra_mean"),
         F.sum(F.col("__ss") / (F.col("n") * F.col("n"))).alias("__cc"),
         vector_to_array(Summarizer.sum(array_to_vector("s"), 1.0 / F.col("n"))).alias("__c"),
     ).where(F.col("rows") >= 3)
-    across = (F.aggregate("__c", F.lit(0.0), lambda acc, x: acc + x * x) - F.col("__cc")) / (
-        F.col("labels") * (F.col("labels") - 1)
+    across = F.try_divide(
+        F.aggregate("__c", F.lit(0.0), lambda acc, x: acc + x * x) - F.col("__cc"),
+        F.col("labels") * (F.col("labels") - 1),
     )
-    return total.select(
-        "intra_mean", F.when(F.col("labels") > 1, across).alias("inter_mean")
-    ).withColumn("separation", F.col("intra_mean") - F.col("inter_mean"))
+    return total.select("intra_mean", across.alias("inter_mean")).withColumn("separation", F.col("intra_mean") - F.col("inter_mean"))
 
 
 def neighbour_metrics(neighbours: DataFrame, ks: tuple[int, ...] = KS, groups: list[str] = ()) -> DataFrame:
@@ -138,7 +137,7 @@ def silhouette(df: DataFrame, label: Column | str, group: Column | str | None =
         F.max("own").alias("own"), F.max("n_own").alias("n_own"), F.max("self").alias("self"),
         F.max("other").alias("other"),
     )
-    a = 1 - (F.col("own") - F.col("self")) / (F.col("n_own") - 1)
+    a = 1 - F.try_divide(F.col("own") - F.col("self"), F.col("n_own") - 1)
     b = 1 - F.col("other")
     value = F.when(F.col("n_own") == 1, F.lit(0.0)).otherwise(
         F.when(F.greatest("a", "b") == 0, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -184,17 +183,17 @@ def cluster_agreement(
         *[total(k, entropy).alias(f"e_{k}") for k in ("cell", "label", "cluster")],
     )
     N = F.col("N")
-    expected = F.col("p_label") * F.col("p_cluster") / (N * (N - 1) / 2)
+    expected = F.try_divide(F.col("p_label") * F.col("p_cluster"), N * (N - 1) / 2)
     ceiling = (F.col("p_label") + F.col("p_cluster")) / 2
     mutual = F.log(N) + (F.col("e_cell") - F.col("e_label") - F.col("e_cluster")) / N
     h_label, h_cluster = F.log(N) - F.col("e_label") / N, F.log(N) - F.col("e_cluster") / N
     out = sums.select(
         "group",
         F.when((F.col("p_cell") == F.col("p_label")) & (F.col("p_cell") == F.col("p_cluster")), F.lit(1.0))
-        .otherwise((F.col("p_cell") - expected) / (ceiling - expected)).alias("ari"),
+        .otherwise(F.try_divide(F.col("p_cell") - expected, ceiling - expected)).alias("ari"),
         F.when((F.col("n_labels") == 1) & (F.col("n_clusters") == 1), F.lit(1.0))
         .when(mutual <= 1e-15, F.lit(0.0))
-        .otherwise(mutual / ((h_label + h_cluster) / 2)).alias("nmi"),
+        .otherwise(F.try_divide(mutual, (h_label + h_cluster) / 2)).alias("nmi"),
     )
     return out.drop("group") if group is None else out
 
@@ -311,9 +310,9 @@ def hybrid_recall(
     t = totals.select(F.struct("rows", "asked", "relevant", "pool_sum").alias("t")).scalar()
     return (
         found.withColumn("t", t).where((F.col("t.rows") >= 3) & (F.col("t.asked") > 0)).select(
-            *[(F.col(f"hits_{k}") / F.col("t.relevant")).alias(f"recall_{k}") for k in ks],
+            *[F.try_divide(F.col(f"hits_{k}"), F.col("t.relevant")).alias(f"recall_{k}") for k in ks],
             F.col("t.asked").cast("long").alias("queries_evaluated"),
-            (F.col("t.pool_sum") / F.col("t.asked")).alias("avg_pool_size"),
+            F.try_divide("t.pool_sum", "t.asked").alias("avg_pool_size"),
         )
     )
 

@@ -43,7 +43,7 @@ def expected_negative_cosine(pairs: DataFrame) -> Column:
     own = pairs.agg(F.sum(cosine("a", "b")).alias("own")).scalar()
     joined = a.select("n", F.col("s").alias("sa")).withColumn("sb", b.select("s").scalar())
     product = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return joined.select(((product - own) / (F.col("n") * (F.col("n") - 1))).alias("x")).scalar()
+    return joined.select(F.try_divide(product - own, F.col("n") * (F.col("n") - 1)).alias("x")).scalar()
 
 
 def pair_separation(pairs: DataFrame, distances: DataFrame | None = None) -> DataFrame:

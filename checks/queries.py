@@ -140,7 +140,7 @@ def metrics_sink(spark, sf_dir):
 
 @register
 def trace_sink(spark, sf_dir):
-    queries, result = hybrid(spark, sf_dir)
+    queries, result = hybrid(spark, sf_dir, stored=True)
     traces = fusion.trace(queries, result.lexical, result.vector, result.fused, {"k": 20, "ef_search": 40})
     path = writers.trace_sink(traces, scratch_dir(spark, "traces"))
     return spark.read.json(path).select(
@@ -422,9 +422,11 @@ def search_by_vector_column(spark, sf_dir):
     ))
 
 
-def hybrid(spark, sf_dir, method="rrf"):
+def hybrid(spark, sf_dir, method="rrf", stored=False):
     queries = query_table(spark, sf_dir)
-    return queries, search.hybrid_search(queries, search_items(spark, sf_dir), "text_vector", ENCODER, method=method)
+    return queries, search.hybrid_search(
+        queries, search_items(spark, sf_dir), "text_vector", ENCODER, method=method, stored=stored
+    )
 
 
 FUSED = ["query_id", "id", "lex_rank", "vec_rank", "hybrid_score", "rank"]
@@ -466,7 +468,7 @@ def answer_summary(spark, sf_dir):
 
 @register
 def trace_top5(spark, sf_dir):
-    queries, result = hybrid(spark, sf_dir)
+    queries, result = hybrid(spark, sf_dir, stored=True)
     traces = fusion.trace(queries, result.lexical, result.vector, result.fused, {"k": 20, "ef_search": 40})
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ",")
     return traces.select(

@@ -62,7 +62,8 @@ def encode(column: Column, encoder: Encoder) -> Column:
             vectors = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(vectors))
 
-    return run(column)
+    # An encoder is costly: no copies of the call in filters the optimizer derives.
+    return run.asNondeterministic()(column)
 
 
 def encode_text(column: Column | str, encoder: Encoder) -> Column:

@@ -14,6 +14,9 @@ WHITESPACE = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters as a string.
+WHITESPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Text made of these characters only is its own NFKC form, so it never has to
 # visit Python: controls, ASCII and the Latin letters without compatibility forms.
 NFKC_STABLE = (
@@ -37,11 +40,8 @@ def _c(column: Column | str) -> Column:
 
 
 def strip(column: Column | str) -> Column:
-    """Remove Unicode white space at both ends."""
-    ws = WHITESPACE
-    # The look-behind anchors the tail match at the start of a run, so long runs
-    # inside a text are scanned once.
-    return F.regexp_replace(_c(column), f"^[{ws}]+|(?<![{ws}])[{ws}]++$", "")
+    """Remove Unicode white space at both ends; the text between is not looked at."""
+    return F.btrim(_c(column), F.lit(WHITESPACE_CHARS))
 
 
 def has_content(column: Column | str) -> Column:
@@ -90,6 +90,10 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+# Keeps the optimizer from copying the call into filters that it derives.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def nfkc(column: Column | str) -> Column:
     """NFKC form; only values that could change are sent to Python."""
     value = _c(column)

@@ -75,7 +75,7 @@ def answer_summary(queries: DataFrame, fused: DataFrame, name: str = "product_na
     from vitrina.functions.text import has_content
 
     names = fused.where(F.col("rank") <= top).groupBy("query_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("name")))), lambda x: x["name"]
+        F.sort_array(F.collect_list(F.struct("rank", F.col(name).alias("name")))), lambda x: x["name"]
     ), ", ").alias("__names"))
     line = F.concat(F.lit(ANSWER_PREFIX), F.coalesce("__names", F.lit(NO_RESULTS)))
     return queries.join(names, "query_id", "left").select(
@@ -91,7 +91,7 @@ def trace(
 
     def packed(df: DataFrame, fields: list[str], name: str, limit: int | None) -> DataFrame:
         df = df if limit is None else df.where(F.col("rank") <= limit)
-        return df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias(name))
+        return df.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias(name))
 
     extra = [c for c in ("name", "text", "image_url") if c in fused.columns]
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""

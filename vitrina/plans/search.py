@@ -13,10 +13,13 @@ from vitrina.functions.vectors import round_vector
 from vitrina.operators import fusion
 from vitrina.operators.lexical import LEXICAL_LIMIT, lexical_search
 from vitrina.operators.similarity import BOUND_ROWS, vector_search
+from vitrina.session import materialize
 
 
 @dataclass
 class SearchResult:
+    """The two ranked lists and the fused one."""
+
     lexical: DataFrame
     vector: DataFrame
     fused: DataFrame
@@ -49,14 +52,21 @@ def hybrid_search(
     queries: DataFrame, items: DataFrame, vector_col: str, encoder: Encoder | None = None,
     k: int = fusion.TOP_K, lex_limit: int = LEXICAL_LIMIT, text: Column | None = None,
     postings: DataFrame | None = None, method: str = "rrf", stem: bool = True, normalized: bool = False,
+    stored: bool = False,
 ) -> SearchResult:
-    """Answer every row of ``queries`` (query_id, text and, without encoder, v)."""
+    """Answer every row of ``queries`` (query_id, text and, without encoder, v).
+
+    ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
+    callers that read more than the fused list.
+    """
     asked = queries.where(has_content("text"))
     vectors = encode_queries(asked, encoder, normalized) if encoder is not None else asked.select("query_id", "v")
     vector = vector_search(vectors, items.select("id", F.col(vector_col).alias("v")), k)
     lexical = lexical_search(
         asked.select("query_id", strip("text").alias("text")), items, text, postings, lex_limit, stem
     )
+    if stored:
+        lexical, vector = materialize(lexical, "lexical"), materialize(vector, "vector")
     fuse = {"rrf": fusion.rrf_fusion, "blend": fusion.blend_fusion}[method]
     return SearchResult(lexical, vector, fuse(lexical, vector, k))
 

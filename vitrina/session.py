@@ -78,6 +78,10 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism(spark))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over the cluster when it has fewer splits than cores.
 

@@ -99,8 +99,9 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
     """Exact linearly interpolated percentiles, one row.
 
     ``wanted`` maps an output name to (column, fraction). Values are counted by
-    value and range, the ranks are located in the one-row-per-range counts, and
-    only the ranges that hold a wanted rank are ordered.
+    range, the ranks are located in these counts, and only the values of the ranges
+    that hold a wanted rank are shuffled and ordered. ``df`` is read several times:
+    pass a stored table.
     """
     columns = sorted({c for c, _ in wanted.values()})
     rows = df.count()
@@ -112,8 +113,7 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
         F.struct(F.lit(c).alias("__col"), F.col(f"__r_{c}").alias("__range"), F.col(c).cast("double").alias("__val"))
         for c in columns
     ])).alias("x")).select("x.*").where(F.col("__val").isNotNull())
-    values = long.groupBy("__col", "__range", "__val").agg(F.count("*").alias("__c"))
-    counts = values.groupBy("__col", "__range").agg(F.sum("__c").alias("__n"))
+    counts = long.groupBy("__col", "__range").agg(F.count("*").alias("__n"))
     offsets = _offsets(counts, ["__col"]).withColumn("__total", F.sum("__n").over(Window.partitionBy("__col")))
     # The ranks a fraction needs: floor and ceiling of fraction * (n - 1).
     probes = F.array(*[
@@ -129,9 +129,10 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
         .where((F.col("__rank") >= F.col("__offset")) & (F.col("__rank") < F.col("__offset") + F.col("__n")))
         .select("__col", "__range", "__offset", "__rank", "__at", F.col("t.name").alias("__name"))
     )
-    hit = values.join(
+    # Other ranges are dropped where they are read; equal values shrink to a count.
+    hit = long.join(
         F.broadcast(targets.select("__col", "__range", "__offset").distinct()), ["__col", "__range"]
-    )
+    ).groupBy("__col", "__range", "__offset", "__val").agg(F.count("*").alias("__c"))
     w = Window.partitionBy("__col", "__range").orderBy("__val").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("__hi", F.col("__offset") + F.sum("__c").over(w)).withColumn(
         "__lo", F.col("__hi") - F.col("__c")

@@ -57,8 +57,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vitrina-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        base = getattr(context, "_vitrina_scratch", None) or tempfile.mkdtemp(prefix="vitrina-scratch-")
+        context._vitrina_scratch = base
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 

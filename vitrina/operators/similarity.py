@@ -252,6 +252,8 @@ def against(
     r_placed = right.withColumn("__j", _hash_block(F.col("__gr"))).withColumn(
         "__i", F.explode(F.sequence(F.lit(0), F.col("__gl") - 1))
     ).drop("__gl", "__gr")
+    # Both sides often come from one table: give the right one columns of its own.
+    r_placed = r_placed.select(*[F.col(c).alias(c) for c in r_placed.columns])
     keys = ["pool", "__i", "__j"]
     n = _partitions(tiles, spark)
 

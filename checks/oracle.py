@@ -334,6 +334,7 @@ ORACLE["pairwise_similarity"] = with_(VECTORS, MIXED) + """SELECT x.id, count(*)
   round(min(list_dot_product(x.ua, y.ub)), 6) AS min_similarity FROM pairs x, pairs y GROUP BY 1"""
 ORACLE["knn_join"] = with_(VECTORS, NEIGHBOURS) + """SELECT id, other AS neighbour_id, rank, round(s, 6) AS similarity
 FROM near WHERE rank <= 10"""
+ORACLE["knn_join_pruned"] = ORACLE["knn_join"]
 ORACLE["ann_knn_all_cells"] = with_(VECTORS, NEIGHBOURS) + """SELECT id AS query_id, other AS id, rank, round(s, 6) AS score
 FROM near WHERE rank <= 10"""
 

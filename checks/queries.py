@@ -360,6 +360,12 @@ def ann_knn_all_cells(spark, sf_dir):
     return rounded(found.select("query_id", "id", "rank", "score"))
 
 
+@register
+def knn_join_pruned(spark, sf_dir):
+    out = ann.exact_knn(vectors(spark, sf_dir).select("id", "v"), K, n_cells=16)
+    return rounded(out.select("id", "neighbour_id", "rank", "similarity"))
+
+
 # --- search -------------------------------------------------------------------
 
 

@@ -122,3 +122,15 @@ def test_ragged_vectors_are_an_error(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, v array<float>").coalesce(1)
     with pytest.raises(Exception, match="different dimensions"):
         similarity.pairwise_similarity(df, df).collect()
+
+
+def test_pruned_knn_is_exact_and_skips_cells(spark, small_blocks):
+    rng = np.random.default_rng(12)
+    centres = np.eye(8)[rng.integers(0, 8, 400)]
+    m = centres + 0.05 * rng.normal(size=(400, 8))
+    m[100:140] = m[100]
+    m[200] = 0
+    rows = frame(spark, m, label=[str(i % 3) for i in range(400)])
+    got = ann.exact_knn(rows, 5, n_cells=8).collect()
+    assert {(r.id, r.neighbour_id, r["rank"]) for r in got} == brute_knn(m, 5)
+    assert all(r.same == (r.id % 3 == r.neighbour_id % 3) for r in got)

@@ -15,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.vectors import l2_normalize
-from vitrina.operators.similarity import Block, against, make_block, similarities, top_k_rows
-from vitrina.session import spread
+from vitrina.operators.similarity import DECIMALS, Block, against, knn_join, make_block, similarities, top_k_rows
+from vitrina.session import materialize, spread
 
 MAX_CELLS = 4096
 TRAINING_ROWS_PER_CELL = 256
+PRUNE_FROM_ROWS = 200_000
 
 
 @dataclass
@@ -37,23 +38,37 @@ class CellIndex:
     rows: DataFrame
 
 
-def _with_cells(df: DataFrame, centres: np.ndarray, count: int) -> DataFrame:
-    """(id, v, pool): every vector with its ``count`` nearest cells, one row each."""
-    count = min(count, len(centres))
+def _placed(df: DataFrame, choose) -> DataFrame:
+    """(id, v, label, pool): one row per vector and cell that ``choose`` names for it.
 
+    ``choose`` maps (similarities to the centres, table) to row and cell numbers.
+    """
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            scores = np.round(make_block(table).units @ centres.T, 10)
-            r, c = top_k_rows(scores, np.arange(len(centres)), count)
-            out = table.take(pa.array(r)).append_column("pool", pa.array(c.astype(str)))
+            r, c = choose(make_block(table).units, table)
+            out = table.select(["id", "v", "label"]).take(pa.array(r)).append_column("pool", pa.array(c.astype(str)))
             yield from out.to_batches()
 
-    vectors = spread(df.where(F.col("v").isNotNull()).select(F.col("id").cast("long"), "v"))
-    element = vectors.schema["v"].dataType.simpleString()
-    return vectors.mapInArrow(assign, f"id long, v {element}, pool string")
+    element = df.schema["v"].dataType.simpleString()
+    return spread(df).mapInArrow(assign, f"id long, v {element}, label string, pool string")
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    label = F.col("label") if "label" in df.columns else F.lit("")
+    return df.where(F.col("v").isNotNull()).select(F.col("id").cast("long"), "v", label.alias("label"))
+
+
+def _nearest_cells(units: np.ndarray, centres: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    scores = np.round(units @ centres.T, DECIMALS)
+    return top_k_rows(scores, np.arange(len(centres)), min(count, len(centres)))
+
+
+def _with_cells(df: DataFrame, centres: np.ndarray, count: int) -> DataFrame:
+    """Every vector with its ``count`` nearest cells, one row each."""
+    return _placed(_vectors(df), lambda units, _: _nearest_cells(units, centres, count))
 
 
 def build_cells(items: DataFrame, n_cells: int | None = None, seed: int = 42) -> CellIndex:
@@ -62,7 +77,7 @@ def build_cells(items: DataFrame, n_cells: int | None = None, seed: int = 42) ->
     The centres are learnt from a sample whose size depends on the number of cells
     only; every vector is then assigned.
     """
-    rows = items.where(F.col("v").isNotNull())
+    rows = _vectors(items)
     n = rows.count()
     n_cells = min(n_cells or max(round(math.sqrt(n)), 1), MAX_CELLS, max(n, 1))
     wanted = TRAINING_ROWS_PER_CELL * n_cells
@@ -74,6 +89,25 @@ def build_cells(items: DataFrame, n_cells: int | None = None, seed: int = 42) ->
     return CellIndex(centres, _with_cells(rows, centres, 1))
 
 
+def _search(index: CellIndex, probes: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    schema = "query_id long, id long, same boolean, score double"
+
+    def kernel(items: Block, asked: Block) -> pa.Table:
+        scores = similarities(asked, items)
+        if exclude_self:
+            scores[asked.ids[:, None] == items.ids[None, :]] = -np.inf
+        r, c = top_k_rows(scores, items.ids, k)
+        same = (asked.column("label")[r] == items.column("label")[c]).astype(bool)
+        return pa.table({"query_id": asked.ids[r], "id": items.ids[c], "same": same, "score": scores[r, c]})
+
+    return against(index.rows, probes, kernel, schema, pooled=True)
+
+
+def _rank(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def ann_knn(
     queries: DataFrame, index: CellIndex, k: int, n_probe: int, exclude_self: bool = False
 ) -> DataFrame:
@@ -81,19 +115,65 @@ def ann_knn(
 
     A cell with many vectors is cut into blocks like any other pool.
     """
-    probes = _with_cells(queries.select(F.col("query_id").alias("id"), "v"), index.centres, n_probe)
-    schema = "query_id long, id long, score double"
+    probes = _with_cells(queries.withColumnRenamed("query_id", "id"), index.centres, n_probe)
+    return _rank(_search(index, probes, k, exclude_self).drop("same"), k)
 
-    def kernel(items: Block, asked: Block) -> pa.Table:
-        scores = similarities(asked, items)
-        if exclude_self:
-            scores[asked.ids[:, None] == items.ids[None, :]] = -np.inf
-        r, c = top_k_rows(scores, items.ids, k)
-        return pa.table({"query_id": asked.ids[r], "id": items.ids[c], "score": scores[r, c]})
 
-    best = against(index.rows, probes, kernel, schema, pooled=True)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def cell_radii(index: CellIndex) -> np.ndarray:
+    """Largest angle between a centre and a vector of its cell, one number per cell."""
+    centres = index.centres
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                cells = table.column("pool").to_numpy(zero_copy_only=False).astype(int)
+                cosines = (make_block(table).units * centres[cells]).sum(axis=1)
+                yield pa.RecordBatch.from_pydict({"cell": cells, "angle": np.arccos(np.clip(cosines, -1, 1))})
+
+    radii = np.zeros(len(centres))
+    # At most MAX_CELLS rows.
+    for row in index.rows.mapInArrow(widest, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("a")).collect():
+        radii[row.cell] = row.a
+    return radii
+
+
+def exact_knn(rows: DataFrame, k: int, n_cells: int | None = None, n_probe: int = 2) -> DataFrame:
+    """Exact ``k`` nearest other rows, leaving out cells that cannot hold one.
+
+    A first look into the nearest cells gives every row a score that its k-th
+    neighbour has at least. By the triangle inequality of angles a cell whose
+    centre is further away than its radius allows for that score holds no
+    neighbour; only the other cells are searched. Same columns as ``knn_join``.
+    """
+    rows = _vectors(rows)
+    index = build_cells(rows, n_cells)
+    index = CellIndex(index.centres, materialize(index.rows, "cells"))
+    centres, radii = index.centres, cell_radii(index)
+    first = materialize(_rank(_search(index, _with_cells(rows, centres, n_probe), k, True), k), "first-look")
+    floor = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    bounded = rows.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+
+    def reachable(units: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        angles = np.arccos(np.clip(units @ centres.T, -1, 1))
+        best = np.cos(np.maximum(angles - radii, 0))
+        open_cells = best >= table.column("floor").to_numpy()[:, None] - 1e-6
+        open_cells[_nearest_cells(units, centres, n_probe)] = False
+        return np.nonzero(open_cells)
+
+    rest = _search(index, _placed(bounded, reachable), k, True)
+    ranked = _rank(first.drop("rank").unionByName(rest), k)
+    return ranked.select(
+        F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), "same", F.col("score").alias("similarity"), "rank"
+    )
+
+
+def neighbours(df: DataFrame, k: int, label: Column | None = None) -> DataFrame:
+    """Exact neighbours over a whole table, pruned by cells where that is worth its passes."""
+    rows = df.where(F.col("v").isNotNull()).withColumn("label", F.lit("") if label is None else label)
+    if rows.select("id").count() > PRUNE_FROM_ROWS:
+        return exact_knn(rows.select("id", "v", "label"), k)
+    return knn_join(rows, k, label=F.col("label"))
 
 
 def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:

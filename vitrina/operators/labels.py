@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.text import label_or_none
 from vitrina.functions.vectors import EPSILON, l2_normalize, norm
+from vitrina.operators.ann import neighbours
 from vitrina.operators.similarity import Block, against, as_matrix, knn_join
 from vitrina.session import materialize, spread
 
@@ -80,25 +81,25 @@ def filter_separation(df: DataFrame, label: Column | str) -> DataFrame:
     return total.select("intra_mean", across.alias("inter_mean")).withColumn("separation", F.col("intra_mean") - F.col("inter_mean"))
 
 
-def neighbour_metrics(neighbours: DataFrame, ks: tuple[int, ...] = KS, groups: list[str] = ()) -> DataFrame:
+def neighbour_metrics(ranked: DataFrame, ks: tuple[int, ...] = KS, groups: list[str] = ()) -> DataFrame:
     """1-NN accuracy and label consistency from ranked neighbours with ``same``.
 
     All rows of a group have the same number of neighbours, so the mean of the
     row-wise shares is one average over neighbours.
     """
     same = F.col("same").cast("double")
-    return neighbours.groupBy(*groups).agg(
+    return ranked.groupBy(*groups).agg(
         F.avg(F.when(F.col("rank") == 1, same)).alias("knn_1_acc"),
         *[F.avg(F.when(F.col("rank") <= k, same)).alias(f"label_consistency_{k}") for k in ks],
     )
 
 
 def knn1_accuracy(df: DataFrame, label: Column | str) -> DataFrame:
-    return neighbour_metrics(knn_join(df, 1, label=label_or_none(label)), ()).select("knn_1_acc")
+    return neighbour_metrics(neighbours(df, 1, label_or_none(label)), ()).select("knn_1_acc")
 
 
 def label_consistency(df: DataFrame, label: Column | str, ks: tuple[int, ...] = KS) -> DataFrame:
-    return neighbour_metrics(knn_join(df, max(ks), label=label_or_none(label)), ks).drop("knn_1_acc")
+    return neighbour_metrics(neighbours(df, max(ks), label_or_none(label)), ks).drop("knn_1_acc")
 
 
 def silhouette(df: DataFrame, label: Column | str, group: Column | str | None = None) -> DataFrame:
@@ -208,7 +209,7 @@ def nmi(df: DataFrame, label: Column | str, cluster: Column | str) -> DataFrame:
 
 def kmeans_clusters(
     df: DataFrame, label: Column | str, group: Column | str | None = None,
-    n_init: int = RESTARTS, seed: int = SEED, components: int | None = None, parallel: int = 4,
+    n_init: int = RESTARTS, seed: int = SEED, components: int | None = None, parallel: int = 8,
 ) -> DataFrame:
     """(id, label, group, cluster): k-means on unit vectors, k = labels (of the group).
 
@@ -266,8 +267,8 @@ def by_group(
     )
     if clusters is None:
         clusters = kmeans_clusters(rows, "label", "group").select("id", "cluster")
-    neighbours = knn_join(rows, max(ks), pool=F.col("group"), label=F.col("label"))
-    near = neighbour_metrics(neighbours.withColumnRenamed("pool", "group"), ks, ["group"])
+    ranked = knn_join(rows, max(ks), pool=F.col("group"), label=F.col("label"))
+    near = neighbour_metrics(ranked.withColumnRenamed("pool", "group"), ks, ["group"])
     agreement = cluster_agreement(rows.join(clusters, "id"), "label", "cluster", "group")
     shape = silhouette(rows, "label", "group")
     return (
@@ -292,8 +293,8 @@ def hybrid_recall(
     """
     pool = F.concat_ws("\x1f", label_or_none(country), label_or_none(city))
     rows = df.where(F.col("v").isNotNull()).select("id", "v", pool.alias("pool"), label_or_none(section).alias("label"))
-    neighbours = knn_join(rows, max(ks), pool=F.col("pool"), label=F.col("label"))
-    found = neighbours.agg(*[
+    ranked = knn_join(rows, max(ks), pool=F.col("pool"), label=F.col("label"))
+    found = ranked.agg(*[
         F.coalesce(F.sum(F.when(F.col("same") & (F.col("rank") <= k), 1)), F.lit(0)).cast("double").alias(f"hits_{k}")
         for k in ks
     ])

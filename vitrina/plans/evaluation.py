@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.text import normalize_label
+from vitrina.operators.ann import neighbours
 from vitrina.operators.labels import (
     by_group, cluster_agreement, filter_separation, hybrid_recall, kmeans_clusters, label_cardinality,
     neighbour_metrics, silhouette,
 )
 from vitrina.operators.ordering import sample_by_id
 from vitrina.operators.pairs import align_pairs, pair_separation, pair_stats, retrieval_metrics, text_pair_retrieval
-from vitrina.operators.similarity import knn_join
 from vitrina.schema import pick_column, vector_checks
 
 TEXT_COLUMNS = ["text_emb_e5", "text_emb_gte", "text_emb_je3"]
@@ -68,7 +68,7 @@ def relevance_report(
     for c in [c for c in columns if c in df.columns]:
         rows = sample.select("id", F.col(c).alias("v"), label.alias("label"), "country_code")
         clusters = kmeans_clusters(rows, "label", seed=seed)
-        near = knn_join(rows, 10, label=F.col("label"))
+        near = neighbours(rows, 10, F.col("label"))
         for metrics in (
             neighbour_metrics(near), silhouette(rows, "label").select("silhouette"),
             cluster_agreement(clusters, "label", "cluster"), label_cardinality(rows, "label"),
@@ -123,7 +123,7 @@ def combined_report(
         parts.append(long_form(text_pair_retrieval(sample, query_text, target_text), query_text, "text_to_text"))
     rows = sample.select("id", F.col(text).alias("v"), F.col(label).alias("label"))
     if "labels" in metrics:
-        near = neighbour_metrics(knn_join(rows, 1, label=F.coalesce("label", F.lit("None"))), ())
+        near = neighbour_metrics(neighbours(rows, 1, F.coalesce("label", F.lit("None"))), ())
         parts += [
             long_form(near, text, "labels"), long_form(silhouette(rows, "label").select("silhouette"), text, "labels"),
         ]

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
+# Input per core above which a scan is taken to have enough splits.
+SPLIT_BYTES = 32 << 20
+
 
 def build_session(app: str = "vitrina", master: str | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -83,13 +86,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism(spark))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything a frame reads, from file statistics; runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than cores.
+    """Spread small inputs over the cluster before work that is heavy per row.
 
-    Large tables have more splits than cores and pass through unchanged; a table
-    that is one small file would otherwise run in one task.
+    A table of one small file would otherwise be one task. Inputs that give every
+    core some tens of megabytes have enough splits and pass through unchanged.
     """
-    wanted = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= wanted:
+    cores = parallelism(df.sparkSession)
+    if input_bytes(df) >= cores * SPLIT_BYTES:
         return df
-    return df.repartition(wanted)
+    return df.repartition(cores)

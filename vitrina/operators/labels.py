@@ -144,10 +144,16 @@ def silhouette(df: DataFrame, label: Column | str, group: Column | str | None =
         F.when(F.greatest("a", "b") == 0, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     )
     scored = row.select("pool", "n_own", a.alias("a"), b.alias("b")).select("pool", value.alias("s"))
-    out = scored.groupBy("pool").agg(F.avg("s").alias("s")).join(sizes, "pool").select(
+    mean = scored.groupBy("pool").agg(F.avg("s").alias("s"))
+    if group is None:
+        size = sizes.select(F.struct("rows", "labels").alias("z")).scalar()
+        out = mean.withColumn("z", size).select("pool", "s", "z.*")
+    else:
+        out = mean.join(sizes, "pool")
+    out = out.select(
         F.col("pool").alias("group"),
         F.when((F.col("labels") >= 2) & (F.col("labels") <= F.col("rows") - 1), F.col("s")).alias("silhouette"),
-        F.col("rows").alias("rows"), "labels",
+        "rows", "labels",
     )
     return out.drop("group") if group is None else out
 

@@ -31,10 +31,12 @@ def range_bounds(df: DataFrame, keys: list[str], rows: int) -> list[list[float]]
 
 
 def with_range(df: DataFrame, key: str, bounds: list[float], name: str) -> DataFrame:
-    """Add the number of the range that ``key`` falls in; order is preserved."""
-    if not bounds:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [-math.inf, *bounds, math.inf]
+    """Add the number of the range that ``key`` falls in; order is preserved.
+
+    Without bounds zero is one: a constant range would turn later joins on it into
+    cross joins.
+    """
+    splits = [-math.inf, *(bounds or [0.0]), math.inf]
     probe = f"__{name}_key"
     bucketizer = Bucketizer(splits=splits, inputCol=probe, outputCol=name)
     return bucketizer.transform(df.withColumn(probe, F.col(key).cast("double"))).drop(probe)

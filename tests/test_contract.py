@@ -1,5 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as contract
@@ -18,6 +22,17 @@ def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_entry_imports_without_jars_or_session():
+    """In a fresh process, with Spark's jar folder out of reach."""
+    code = (
+        "import pyspark; pyspark.__file__ = '/nowhere/pyspark/__init__.py'\n"
+        "import __spark_entry__ as e; assert len(e.queries()) >= 74 and len(e.oracle_sql()) >= 71"
+    )
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     out = contract.entry(spark)
     assert out.count() > 0

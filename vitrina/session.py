@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -55,12 +56,14 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the shared folder that the cluster names.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets
-    a local temporary folder.
+    Only a session on one machine may leave ``spark.checkpoint.dir`` unset, and gets
+    a temporary folder; on several machines that would lose rows, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(context, "_vitrina_scratch", None) or tempfile.mkdtemp(prefix="vitrina-scratch-")
         context._vitrina_scratch = base
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")

@@ -85,7 +85,9 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of texts, lower-cased in A-Z, and where each text's words begin and end."""
     import pyarrow.compute as pc
 
-    split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(column, "").cast(pa.large_string())), WORD_BREAK)
+    # A copy, as lower-casing a slice of an array gives wrong offsets in some Arrow versions.
+    whole = pa.concat_arrays([pc.fill_null(column, "").cast(pa.large_string())])
+    split = pc.split_pattern_regex(pc.ascii_lower(whole), WORD_BREAK)
     words = split.flatten()
     filled = pc.not_equal(pc.binary_length(words), 0)
     before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])

@@ -319,3 +319,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") == 0) | (F.col("label") == _NO_ID), F.col("id")).otherwise(F.col("label")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without near duplicates, with their own columns: of each component the least id.
+
+    Rows without an id go by a hash of the whole row instead; of rows that share an id and
+    stay, any one is kept. Texts without words are all kept, but for repeated ids.
+    """
+    key = "__key"
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_column).cast("long"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    found = materialize(near_duplicates(keyed, key, text_column).select("id", "component_id"), "near-duplicates")
+    stays = found.where(F.col("id") == F.col("component_id")).select("id")
+    goes = materialize(
+        found.where(F.col("id") != F.col("component_id")).select("id").distinct().join(stays, "id", "left_anti"), "removed"
+    )
+    repeated = materialize(stays.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    without = lambda rows, ids, how: rows.join(
+        F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[key] == ids["id"], how
+    )
+    kept = without(keyed, goes, "left_anti")
+    if repeated.isEmpty():
+        return kept.drop(key)
+    single = without(kept, repeated, "left_anti")
+    return single.unionByName(without(kept, repeated, "left_semi").dropDuplicates([key])).drop(key)

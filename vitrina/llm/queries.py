@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import minhash, packing, topk
+from vitrina.llm import langid, minhash, mixing, packing, quality, topk
 from vitrina.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,40 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.component, d
   d.doc_id = coalesce(c.component, d.doc_id) AS kept
 FROM sets d LEFT JOIN nodes o ON d.s = o.s LEFT JOIN least c ON c.node = o.node
 """
+
+
+def learnt_from(docs: DataFrame) -> DataFrame:
+    """The documents that a language model may learn from."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(learnt_from(docs))
+    found = docs.select("doc_id", langid.prediction(model, F.col("text")).alias("p"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return found.select("doc_id", held_out.alias("held_out"), "p.lang_pred", "p.score", "p.margin", "p.rejected")
+
+
+# Grades: toxic, poor, good.
+GRADES = 3
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, ratings(spark, sf_dir), GRADES)
+    found = docs.select("doc_id", quality.grading(model, F.col("text")).alias("g"))
+    return found.select("doc_id", "g.expected_grade", "g.p_top", (F.col("g.p_top") >= 0.5).alias("kept"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed_words(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

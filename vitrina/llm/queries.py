@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import langid, minhash, mixing, packing, quality, topk
+from vitrina.llm import chat, langid, minhash, mixing, packing, quality, topk
 from vitrina.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,42 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed_words(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests come from the formatted conversations, read back."""
+    control = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), control.alias("prompt"), control.alias("response"))
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    read = chat.formatted(turns).select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.trained_text(F.col("segments")).alias("trained"),
+    )
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+LLM_SQL["op2_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+counted AS (
+  SELECT *, len(regexp_extract_all(role, '<\\*(?:s>|/s>|<SYS>>|</SYS>>|\|)|\[\\*(?:INST\]|/INST\])'))
+    + len(regexp_extract_all(text, '<\\*(?:s>|/s>|<SYS>>|</SYS>>|\|)|\[\\*(?:INST\]|/INST\])')) AS escapes FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS spoken,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS trained,
+    sum(length(role) + length(text) + escapes + length('<|start|><|message|><|end|>')) AS formatted_chars
+  FROM counted GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(spoken) AS turns_sha256,
+  CAST(length(trained) AS BIGINT) AS loss_chars, sha256(trained) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import chat, langid, minhash, mixing, packing, quality, topk
+from vitrina.llm import chat, extraction, langid, minhash, mixing, packing, quality, topk
 from vitrina.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
   CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM joined
 """
+
+
+@query
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", "url", extraction.extracted(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import chat, extraction, langid, minhash, mixing, packing, quality, topk
+from vitrina.llm import attribution, chat, extraction, langid, minhash, mixing, packing, phrases, quality, topk
 from vitrina.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,14 @@ FROM joined
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", "url", extraction.extracted(F.col("html")).alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return attribution.attributed(table(spark, sf_dir, "documents"), rule="largest")
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -134,9 +134,8 @@ def json_fingerprint(json: Column) -> Column:
     """:func:`fingerprint` of the record in a JSON text, from its keys and those of its arrays' first elements."""
     keys = lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))
     arrays = sorted({m.items for m in LAYOUTS if m.items})
-    inner = [
-        F.transform(keys(F.get_json_object(json, f"$.{a}[0]")), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)) for a in arrays
-    ]
+    within = lambda a: lambda k: F.concat(F.lit(f"{a}[]."), k)
+    inner = [F.transform(keys(F.get_json_object(json, f"$.{a}[0]")), within(a)) for a in arrays]
     known = F.array_sort(F.array_intersect(F.concat(keys(json), *inner), F.array(*[F.lit(p) for p in _KNOWN])))
     return F.sha2(F.array_join(known, "\n"), 256)
 

@@ -6,9 +6,8 @@ share no band with probability 5e-6.
 
 Equal sets are one node, so copies cost nothing further. Inside a bucket no pairs are
 written out: its members are compared with one hub, buckets whose members are connected
-by then are done, and the next hub is asked. What is still apart is compared tile by tile
-inside tasks, where signatures and the number of shingles that no other document has leave
-few pairs to confirm.
+by then are done, and the next hub is asked. What is still apart is compared block by block
+inside tasks, and only pairs whose folded sets reach the threshold leave them.
 """
 
 from __future__ import annotations
@@ -31,10 +30,9 @@ THRESHOLD = 75  # percent
 BANDS = 32
 PERMUTATIONS_PER_BAND = 2
 VALUES = 2 * BANDS * PERMUTATIONS_PER_BAND
-# A pair at the threshold agrees in so few of 128 values with probability below 1e-12.
-LEAST_AGREEMENT = 54
-# Members of a bucket that meet in one step inside a task; two such blocks make a tile.
+# Members of a bucket in a block; two blocks meet at once inside a task, so many shared shingles at a time.
 TILE = 128
+TILE_COLUMNS = 4096
 # Characters that a task turns into shingles at once; one longer text is a step of its own.
 STEP_CHARS = 1 << 23
 # Ids up to which a list of documents is broadcast; beyond it the join shuffles.
@@ -175,16 +173,15 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, band, node, n, label) of the buckets whose members are not all connected yet."""
+    """(key, node, n, label) of the buckets whose members are not all connected yet."""
     labelled = members.join(labels, "node")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     return labelled.join(open_keys, "key")
 
 
-def _possible(n: Column, m: Column, common: Column | None = None) -> Column:
-    """Whether sets of these sizes can reach the threshold, with at most so many common shingles."""
-    common = F.least(n, m) if common is None else common
-    return 100 * common >= THRESHOLD * (n + m - common)
+def _possible(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
 def _hub_pairs(apart: DataFrame, order: list[Column]) -> DataFrame:
@@ -204,10 +201,7 @@ def _hub_pairs(apart: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def _alone(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, alone): shingles that no other document of these buckets has.
-
-    Two sets have at most min(n - alone) shingles in common.
-    """
+    """(node, alone): how many of its shingles no other document of these buckets has."""
     nodes = apart.select("node").distinct()
     owned = sets.join(nodes, "node").select("node", F.explode("shingles").alias("s"))
     single = owned.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
@@ -215,44 +209,54 @@ def _alone(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return nodes.join(counted, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
-def _tile_pairs(apart: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b, la, lb) of open buckets that signatures and counts do not rule out, each once.
+def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb) of open buckets whose sets reach the threshold by 32-bit shingles.
 
-    A bucket is cut into blocks; every two of its blocks meet in some task as matrices.
+    Only members outside of a bucket's largest component are looked at: blocks of them meet
+    blocks of all members as matrices in some task. Folded to 32 bits, common shingles are
+    never counted too few, so no link is lost and hardly any pair has to be refuted later.
     """
-    sized = apart.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    tiled = (
-        apart.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .join(signed, "node")
-        .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "n",
-            "alone", "label", "signature",
-        )
+    shares = apart.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sized = shares.groupBy("key").agg(
+        F.max_by("label", F.struct("c", "label")).alias("main"),
+        F.ceil((F.sum("c") - F.max("c")) / TILE).alias("few"), F.ceil(F.sum("c") / TILE).alias("all"),
     )
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    placed = apart.join(sized, "key").withColumn("own", F.xxhash64("node"))
+    columns = ["key", "i", "j", "side", "node", "n", "label"]
+    left = placed.where(F.col("label") != F.col("main")).withColumn("i", F.pmod("own", "few")).withColumn(
+        "j", F.explode(numbers(F.col("all")))
+    ).withColumn("side", F.lit(0))
+    right = placed.withColumn("j", F.pmod("own", "all")).withColumn("i", F.explode(numbers(F.col("few")))).withColumn("side", F.lit(1))
+    folded = sets.select("node", F.transform("shingles", lambda s: s.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("folded"))
+    tiled = left.select(*columns).unionByName(right.select(*columns)).join(folded, "node")
 
     def pairs_in(group: pa.Table) -> pa.RecordBatch:
-        column = {c: group.column(c).to_numpy() for c in ("own", "node", "n", "alone", "label", "i", "j", "band")}
-        values = group.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
-        left = np.nonzero(column["own"] == column["i"][0])[0]
-        right = np.nonzero(column["own"] == column["j"][0])[0]
-        same = column["i"][0] == column["j"][0]
-        own, node, n = column["label"], column["node"], column["n"]
-        keep = own[left][:, None] != own[right][None, :]
-        if same:
-            keep &= node[left][:, None] < node[right][None, :]
-        shared = np.minimum((n - column["alone"])[left][:, None], (n - column["alone"])[right][None, :])
-        keep &= 100 * shared >= THRESHOLD * (n[left][:, None] + n[right][None, :] - shared)
-        x, y = np.nonzero(keep)
-        if len(x):
-            equal = values[left[x]] == values[right[y]]
-            bands = equal.reshape(len(x), BANDS, -1).all(axis=2)
-            # A pair that met in an earlier band is written there.
-            fine = (equal.sum(axis=1) >= LEAST_AGREEMENT) & (bands.argmax(axis=1) == column["band"][0])
-            x, y = x[fine], y[fine]
+        side, node, n, label = (group.column(c).to_numpy() for c in ("side", "node", "n", "label"))
+        lists = group.column("folded").combine_chunks()
+        row = np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy())
+        _, value = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        place = np.empty(len(side), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        on_left = side[row] == 0
+        size = int(value.max(initial=-1)) + 1
+        both = (np.bincount(value[on_left], minlength=size) > 0) & (np.bincount(value[~on_left], minlength=size) > 0)
+        column = np.cumsum(both) - 1
+        common = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(both.sum()), TILE_COLUMNS):
+            here = both[value] & (column[value] >= start) & (column[value] < start + TILE_COLUMNS)
+            parts = []
+            for mask, rows in ((here & on_left, len(left)), (here & ~on_left, len(right))):
+                part = np.zeros((rows, TILE_COLUMNS), np.float32)
+                np.add.at(part, (place[row[mask]], column[value[mask]] - start), 1)
+                parts.append(part)
+            common += parts[0] @ parts[1].T
+        union = n[left][:, None] + n[right][None, :] - common
+        x, y = np.nonzero((100 * common >= THRESHOLD * union) & (label[left][:, None] != label[right][None, :]))
         a, b = left[x], right[y]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (node[a], node[b], own[a], own[b])], ["a", "b", "la", "lb"]
+            [pa.array(c) for c in (node[a], node[b], label[a], label[b])], ["a", "b", "la", "lb"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +275,14 @@ def _tile_pairs(apart: DataFrame, signed: DataFrame) -> DataFrame:
         if rest:
             yield pairs_in(pa.Table.from_batches(rest))
 
-    return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+    found = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         run, "a long, b long, la long, lb long"
     )
+    # Two sets may meet in several buckets, and twice in one.
+    smaller = F.col("a") < F.col("b")
+    return found.select(*[
+        F.when(smaller, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la"))
+    ]).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -292,9 +301,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             F.coalesce(F.min("id"), F.lit(_NO_ID)).alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")
         ), "representatives",
     )
-    banded = reps.select("node", F.posexplode(_band_keys(F.col("signature"))).alias("band", "key"))
+    banded = reps.select("node", F.explode(_band_keys(F.col("signature"))).alias("key"))
     several = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(banded.join(several, "key").select("key", "band", "node"), "buckets")
+    members = materialize(banded.join(several, "key").select("key", "node"), "buckets")
     wanted = materialize(reps.select("node", "id", "n").join(members.select("node").distinct(), "node"), "candidates")
     sets = materialize(_sets_of(docs, wanted, id_column, text_column), "sets")
     labels = wanted.select("node", "n", F.col("id").alias("label"))
@@ -307,8 +316,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # The member with the fewest shingles of its own is the most central one.
     pairs = _hub_pairs(apart.join(alone, "node"), [F.col("alone")])
     labels = _relabelled(labels, _confirmed(pairs, sets))
-    apart = _apart(members, labels).join(alone, "node")
-    pairs = materialize(_tile_pairs(apart, reps.select("node", "signature")), "pairs")
+    pairs = materialize(_tile_pairs(_apart(members, labels), sets), "pairs")
     labels = _relabelled(labels, _confirmed(pairs, sets))
 
     final = reps.select("node", "id").join(labels.select("node", "label"), "node", "left").select(

@@ -4,9 +4,9 @@ One weight per hashed feature is shared by all grades, ordered thresholds cut th
 into grades: P(grade <= k) = sigmoid(threshold_k - score). The expected grade and the
 probability of the upper grades serve for selection.
 
-Features are the words of a document (each once), the share of every word shape (letters
-as one class, digits as another, signs kept) and the share of words that repeat the one
-before.
+Features are the words of a document and their beginnings (each once), the share of every
+word shape (letters as one class, digits as another, signs kept) and the share of words
+that repeat the one before.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 from vitrina.llm.common import words_of
 
-DIMENSIONS = 1 << 16
+DIMENSIONS = 1 << 18
+# Letters of a beginning, which inflected forms of a word share.
+BEGINNING = 5
 # The bound of the fit: so many labelled rows, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
 STEPS = 200
@@ -32,7 +34,7 @@ LEARNING_RATE = 0.05
 PENALTY = 1e-4
 # Weight of a share against that of a word.
 SHARE_SCALE = 4.0
-STEP_CHARS = 1 << 23
+STEP_CHARS = 1 << 21
 
 GRADING = T.StructType([
     T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType()),
@@ -49,8 +51,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded = words.dictionary_encode()
     kinds = coded.dictionary
     shapes = pc.replace_substring_regex(pc.replace_substring_regex(kinds, r"\pL+", "a"), r"\pN+", "0")
-    of_word = np.array([xxhash.xxh32_intdigest(w) % DIMENSIONS for w in kinds.to_pylist()], np.int64)
-    of_shape = np.array([xxhash.xxh32_intdigest(w, seed=7) % DIMENSIONS for w in shapes.to_pylist()], np.int64)
+    beginnings = pc.utf8_slice_codeunits(pc.replace_substring_regex(kinds, r"^\PL+", ""), 0, BEGINNING)
+    of_word, of_beginning, of_shape = (
+        np.array([xxhash.xxh32_intdigest(w, seed=seed) % DIMENSIONS for w in part.to_pylist()], np.int64)
+        for seed, part in enumerate((kinds, beginnings, shapes))
+    )
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(ends)
     rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -60,16 +65,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return key // DIMENSIONS, key % DIMENSIONS, count
 
     row, feature, _ = counted(of_word[at] if len(at) else at)
+    begin_row, beginning, _ = counted(of_beginning[at] if len(at) else at)
     shape_row, shape, count = counted(of_shape[at] if len(at) else at)
     repeats = np.zeros(len(rows), bool)
     repeats[1:] = (at[1:] == at[:-1]) & (rows[1:] == rows[:-1])
     repeated = np.bincount(rows, repeats, len(sizes))
     again = np.nonzero(repeated)[0]
     return (
-        np.concatenate([row, shape_row, again]),
-        np.concatenate([feature, shape, np.full(len(again), DIMENSIONS)]),
+        np.concatenate([row, begin_row, shape_row, again]),
+        np.concatenate([feature, beginning, shape, np.full(len(again), DIMENSIONS)]),
         np.concatenate([
-            np.ones(len(row)), SHARE_SCALE * np.sqrt(count / sizes[shape_row]),
+            np.ones(len(row) + len(begin_row)), SHARE_SCALE * np.sqrt(count / sizes[shape_row]),
             SHARE_SCALE * np.sqrt(repeated[again] / sizes[again]),
         ]),
     )

@@ -28,7 +28,7 @@ DIMENSIONS = 1 << 18
 # Letters of a beginning, which inflected forms of a word share.
 BEGINNING = 5
 # The bound of the fit: so many labelled rows, those with the smallest hashes of their ids.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 STEPS = 200
 LEARNING_RATE = 0.05
 PENALTY = 1e-4
@@ -156,14 +156,20 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), *lists], ["key", "grade", "f", "v"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    # One row per key, whatever the table repeats.
-    found = sample.mapInArrow(run, f"key {kind}, grade int, f array<int>, v array<float>").dropDuplicates(["key"]).toPandas()
-    found = found.sort_values("key", kind="stable")
-    sizes = found["f"].map(len).to_numpy(np.int64) if len(found) else np.zeros(0, np.int64)
-    joined = lambda column, kind: np.concatenate([np.zeros(0, kind), *map(np.asarray, found[column])]).astype(kind)
+    # One row per key, whatever the table repeats; as Arrow, which takes the room of the numbers only.
+    found = sample.mapInArrow(run, f"key {kind}, grade int, f array<int>, v array<float>").dropDuplicates(["key"]).toArrow()
+    found = found.sort_by("key").combine_chunks()
+    if not found.num_rows:
+        nothing = np.zeros(0, np.int64)
+        return fit_ordinal(nothing, nothing, nothing.astype(float), nothing, grades)
+    lists = [found.column(c).combine_chunks() for c in ("f", "v")]
+    sizes = lists[0].value_lengths().to_numpy()
+    feature, value = (x.flatten().to_numpy() for x in lists)
+    # A feature of one document tells nothing of others.
+    shared = np.bincount(feature, minlength=DIMENSIONS + 1)[feature] > 1
+    row = np.repeat(np.arange(len(sizes)), sizes)[shared]
     return fit_ordinal(
-        np.repeat(np.arange(len(sizes)), sizes), joined("f", np.int64), joined("v", np.float64),
-        found["grade"].to_numpy(np.int64), grades,
+        row, feature[shared].astype(np.int64), value[shared].astype(np.float64), found.column("grade").to_numpy().astype(np.int64), grades,
     )
 
 

@@ -51,12 +51,33 @@ def test_ingest_and_load(spark, tmp_path):
     load_products(spark, target, table, "one", "shelf")
     products = spark.read.parquet(table)
     assert sorted(r.id for r in products.collect()) == [1, 2, 3]
-    load_products(spark, target, table, "two", "shelf", existing=products)
+    before = {r.s3_path: r.id for r in products.collect()}
+    load_products(spark, target, table, "two", "shelf")
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2, 3, 4, 5, 6]
+    load_products(spark, target, table, "one", "shelf")
+    rows = spark.read.parquet(table).collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3, 4, 5, 6]
+    assert {r.s3_path: r.id for r in rows if r.load_batch == "one"} == before
     row = spark.read.parquet(table).where("s3_path = 'd.png'").first()
     assert row.store_name == "AS_1" and row.s3_url == "s3://shelf/d.png" and row.created_at is not None
 
 
+def test_files_are_numbered_by_name(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, rows in (("a", 2), ("b", 400), ("c", 3)):
+        lines = [f"ES,MAD,T,Pan,X,texto {i},{name}{i:04d}.png," for i in range(rows)]
+        (folder / f"{name}.csv").write_text("\n".join([HEADER, *lines]) + "\n", encoding="utf-8")
+    numbered = csv_source(spark, str(folder), line_order="line").orderBy("line").collect()
+    assert [r.s3_path for r in numbered] == sorted(r.s3_path for r in numbered) and len(numbered) == 405
+    out = tmp_path / "parts"
+    for name in ("b", "a"):
+        spark.createDataFrame([("ES", f"{name}{i}.png") for i in range(3)], "country_code string, s3_path string").coalesce(1).write.parquet(str(out / f"{name}.parquet"))
+    load_products(spark, str(out / "*.parquet"), str(tmp_path / "table"), "x", "shelf")
+    ids = {r.s3_path: r.id for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    assert [ids[f"{n}{i}.png"] for n in "ab" for i in range(3)] == [1, 2, 3, 4, 5, 6]
+
+
 def test_empty_result_keeps_columns(spark, tmp_path):
     path = parquet_sink(csv_source(spark, write_csv(tmp_path)).where("false"), str(tmp_path / "none"))
     assert parquet_source(spark, path).columns == LOAD_COLUMNS

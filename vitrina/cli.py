@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--products", required=True)
     p.add_argument("--bucket", required=True)
     p.add_argument("--batch-id", default=datetime.now(timezone.utc).strftime("%Y%m%d-%H%M%S"))
-    p.add_argument("--append", action="store_true", help="continue the ids of the existing table")
+    p.add_argument("--append", action="store_true", help="kept for older calls: loads always continue the ids of the table")
 
     p = commands.add_parser("backfill", help="fill a text vector column")
     p.add_argument("--products", required=True)
@@ -109,8 +109,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         target = args.output_file or f"{args.output_dir}/filtered_dataset.parquet"
         return ingest_csv(spark, args.source, target, args.max_records, args.country_codes)
     if args.command == "load":
-        existing = parquet_source(spark, args.products) if args.append else None
-        return load_products(spark, args.parquet_file or args.data_dir, args.products, args.batch_id, args.bucket, existing)
+        return load_products(spark, args.parquet_file or args.data_dir, args.products, args.batch_id, args.bucket)
     if args.command == "backfill":
         products = parquet_source(spark, args.products)
         if args.column not in products.columns:

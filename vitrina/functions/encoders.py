@@ -15,6 +15,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,11 +43,14 @@ class HashingEncoder:
             return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                tokens = text.split(" ") if text else []
-                if tokens:
-                    out[row] = np.bincount([bucket(t) for t in tokens], minlength=dim)
+            # Tokens of the whole batch at once; each distinct one is hashed once.
+            split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+            coded = split.flatten().dictionary_encode()
+            places = np.array([bucket(t) if t else -1 for t in coded.dictionary.to_pylist()], np.int64)
+            place = places[coded.indices.to_numpy()] if len(coded) else places
+            row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+            cells = (row * dim + place)[place >= 0]
+            out = np.bincount(cells, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -53,19 +58,25 @@ class HashingEncoder:
 
 
 def encode(column: Column, encoder: Encoder) -> Column:
-    """Vectors of a text column; the encoder opens once per task."""
+    """Vectors of a text column; a null text has none and never reaches the encoder, which opens once per task."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder.open()
         for texts in batches:
-            vectors = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
-            yield pd.Series(list(vectors))
+            given = texts.notna().to_numpy()
+            out = np.full(len(texts), None, dtype=object)
+            if given.any():
+                vectors = np.asarray(model(texts[given].tolist()), dtype=np.float32)
+                for row, vector in zip(np.nonzero(given)[0], vectors, strict=True):
+                    out[row] = vector
+            yield pd.Series(out)
 
     # An encoder is costly: no copies of the call in filters the optimizer derives.
     return run.asNondeterministic()(column)
 
 
 def encode_text(column: Column | str, encoder: Encoder) -> Column:
-    """Normalise, then encode: how catalogue rows get their vectors."""
-    return encode(normalize_text(column), encoder)
+    """Normalise, then encode: how catalogue rows get their vectors. A null text stays without one."""
+    text = F.col(column) if isinstance(column, str) else column
+    return encode(F.when(text.isNotNull(), normalize_text(text)), encoder)

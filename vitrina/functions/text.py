@@ -85,6 +85,7 @@ def text_template(
     return F.concat(F.lit(prefix), body)
 
 
+# Arrow's own normaliser leaves accents apart under NFKC, so this goes string by string.
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -15,28 +15,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.vectors import l2_normalize
-from vitrina.operators.similarity import DECIMALS, Block, against, knn_join, make_block, similarities, top_k_rows
+from vitrina.operators.similarity import DECIMALS, Block, against, make_block, similarities, top_k_rows
 from vitrina.session import materialize, spread
 
-MAX_CELLS = 4096
-TRAINING_ROWS_PER_CELL = 256
-PRUNE_FROM_ROWS = 200_000
+# Centres travel with the tasks; more are an error, not a silent change.
+MAX_CELLS = 1 << 16
 
 
 @dataclass
 class CellIndex:
-    """Cell centres (at most ``MAX_CELLS`` unit vectors) and the vectors with their cell.
-
-    Write ``rows`` partitioned by ``pool`` to let a search skip the other cells.
-    """
+    """Cell centres (at most ``MAX_CELLS`` unit vectors) and the vectors with their cell."""
 
     centres: np.ndarray
     rows: DataFrame
 
+    def write(self, path: str) -> "CellIndex":
+        """Store the index; its rows are partitioned by cell, so that a search reads the probed cells only."""
+        spark = self.rows.sparkSession
+        self.rows.write.mode("overwrite").partitionBy("pool").parquet(f"{path}/rows")
+        cells = [(i, c.tolist()) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(cells, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        return read_cells(spark, path)
+
+
+def read_cells(spark: SparkSession, path: str) -> CellIndex:
+    """A stored index: the centres come to the driver, the rows stay where they are."""
+    cells = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()
+    centres = np.array(cells.column("centre").to_pylist(), dtype=float)
+    rows = spark.read.parquet(f"{path}/rows")
+    return CellIndex(centres, rows.withColumn("pool", F.col("pool").cast("string")))
+
 
 def _placed(df: DataFrame, choose) -> DataFrame:
     """(id, v, label, pool): one row per vector and cell that ``choose`` names for it.
@@ -74,15 +86,15 @@ def _with_cells(df: DataFrame, centres: np.ndarray, count: int) -> DataFrame:
 def build_cells(items: DataFrame, n_cells: int | None = None, seed: int = 42) -> CellIndex:
     """Find cell centres and put every vector into its cell.
 
-    The centres are learnt from a sample whose size depends on the number of cells
-    only; every vector is then assigned.
+    The centres are learnt from all vectors and every vector is assigned. Without
+    ``n_cells`` there are as many as the root of the row count, up to ``MAX_CELLS``.
     """
     rows = _vectors(items)
+    if n_cells is not None and not 1 <= n_cells <= MAX_CELLS:
+        raise ValueError(f"n_cells must lie between 1 and {MAX_CELLS}")
     n = rows.count()
-    n_cells = min(n_cells or max(round(math.sqrt(n)), 1), MAX_CELLS, max(n, 1))
-    wanted = TRAINING_ROWS_PER_CELL * n_cells
-    training = rows if n <= wanted else rows.sample(fraction=wanted / n, seed=seed)
-    features = spread(training).select(array_to_vector(l2_normalize("v")).alias("features"))
+    n_cells = min(n_cells or min(max(round(math.sqrt(n)), 1), MAX_CELLS), max(n, 1))
+    features = spread(rows).select(array_to_vector(l2_normalize("v")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features").fit(features)
     centres = np.asarray(model.clusterCenters())
     centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-8
@@ -169,11 +181,9 @@ def exact_knn(rows: DataFrame, k: int, n_cells: int | None = None, n_probe: int
 
 
 def neighbours(df: DataFrame, k: int, label: Column | None = None) -> DataFrame:
-    """Exact neighbours over a whole table, pruned by cells where that is worth its passes."""
+    """Exact neighbours over a whole table, pruned by cells at every size."""
     rows = df.where(F.col("v").isNotNull()).withColumn("label", F.lit("") if label is None else label)
-    if rows.select("id").count() > PRUNE_FROM_ROWS:
-        return exact_knn(rows.select("id", "v", "label"), k)
-    return knn_join(rows, k, label=F.col("label"))
+    return exact_knn(rows.select("id", "v", "label"), k)
 
 
 def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:

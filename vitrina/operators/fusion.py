@@ -88,16 +88,16 @@ def trace(
     params: dict[str, int], rows: int = TRACE_ROWS,
 ) -> DataFrame:
     """Per query: parameters, the first rows of both lists and the whole fused list."""
+    from vitrina.functions.text import has_content
 
     def packed(df: DataFrame, fields: list[str], name: str, limit: int | None) -> DataFrame:
         df = df if limit is None else df.where(F.col("rank") <= limit)
         return df.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias(name))
 
     extra = [c for c in ("name", "text", "image_url") if c in fused.columns]
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
     out = queries.select(
         "query_id", "text", F.lit("hybrid_text").alias("intent"),
-        F.when(blank, F.lit("empty_text")).alias("error"),
+        F.when(~has_content("text"), F.lit("empty_text")).alias("error"),
         F.struct(*[F.lit(v).alias(n) for n, v in params.items()]).alias("params"),
     )
     lists = [

@@ -46,12 +46,16 @@ def clean_strings(df: DataFrame, columns: list[str] = LOAD_COLUMNS) -> DataFrame
     return df.withColumns({c: clean_string(c) for c in columns})
 
 
-def prepare_load(df: DataFrame, bucket: str) -> DataFrame:
+def prepare_load(df: DataFrame, bucket: str, keep: list[str] = ()) -> DataFrame:
     """What a file goes through before it is appended: conform, URL, clean.
 
     The URL is built before stripping, so blanks at the front of a path stay in it.
+    Columns to ``keep`` pass through unchanged.
     """
-    return clean_strings(derive_url(conform_schema(df), bucket))
+    own = conform_schema(df).columns
+    marks = {c: df.schema[c].dataType for c in keep}
+    kept = conform_schema(df, [*own, *keep]).withColumns({c: F.col(c).cast(kind) for c, kind in marks.items()})
+    return clean_strings(derive_url(kept, bucket))
 
 
 def count_by_section_in_city(df: DataFrame, city: str) -> DataFrame:

@@ -72,6 +72,21 @@ def assign_ids(df: DataFrame, order_key: str, existing: DataFrame | None = None,
     return dense_index(df, order_key, name, start)
 
 
+# Rows that one file may have in a numbering over files.
+FILE_ROWS_BITS = 36
+
+
+def number_in_file_order(df: DataFrame, file: str, position: str, name: str) -> DataFrame:
+    """Increasing numbers by file name, then by position in the file, whatever order files are read in.
+
+    Positions need not begin at zero. The ranks of the files come from one row per file.
+    """
+    files = df.groupBy(file).agg(F.min(position).alias("__file_first"))
+    ranked = files.withColumn("__file_rank", F.row_number().over(Window.orderBy(file)) - 1).withColumnRenamed(file, "__file_name")
+    number = F.shiftleft(F.col("__file_rank").cast("long"), FILE_ROWS_BITS) + F.col(position) - F.col("__file_first")
+    return df.join(ranked, F.col(file) == F.col("__file_name")).withColumn(name, number).drop("__file_name", "__file_rank", "__file_first")
+
+
 def shift_by_one(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """``value`` of the previous row in ``key`` order; the first row gets the last one.
 

@@ -11,6 +11,7 @@ from vitrina.functions.encoders import Encoder, encode
 from vitrina.functions.text import has_content, normalize_text, strip
 from vitrina.functions.vectors import round_vector
 from vitrina.operators import fusion
+from vitrina.operators.ann import CellIndex, ann_knn
 from vitrina.operators.lexical import LEXICAL_LIMIT, lexical_search
 from vitrina.operators.similarity import BOUND_ROWS, vector_search
 from vitrina.session import materialize
@@ -37,13 +38,15 @@ def encode_queries(queries: DataFrame, encoder: Encoder, normalized: bool = Fals
     return kept.select("query_id", encode(text, encoder).alias("v")).select("query_id", round_vector("v").alias("v"))
 
 
-def attach_fields(ranked: DataFrame, items: DataFrame, fields: dict[str, Column | str], queries: DataFrame) -> DataFrame:
+def attach_fields(
+    ranked: DataFrame, items: DataFrame, fields: dict[str, Column | str], queries: DataFrame, k: int = fusion.TOP_K
+) -> DataFrame:
     """Add display fields of the items to ranked rows.
 
-    The ranked rows are queries x k; they are broadcast only when the number of
-    queries was checked, so that the catalogue need not be shuffled.
+    The ranked rows are at most queries x k; they are broadcast only when that product
+    was checked, so that the catalogue need not be shuffled.
     """
-    few = queries.limit(BOUND_ROWS + 1).count() <= BOUND_ROWS
+    few = queries.limit(BOUND_ROWS + 1).count() * k <= BOUND_ROWS * fusion.TOP_K
     shown = items.select("id", *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
     return shown.join(F.broadcast(ranked) if few else ranked, "id")
 
@@ -52,16 +55,20 @@ def hybrid_search(
     queries: DataFrame, items: DataFrame, vector_col: str, encoder: Encoder | None = None,
     k: int = fusion.TOP_K, lex_limit: int = LEXICAL_LIMIT, text: Column | None = None,
     postings: DataFrame | None = None, method: str = "rrf", stem: bool = True, normalized: bool = False,
-    stored: bool = False,
+    stored: bool = False, index: CellIndex | None = None, n_probe: int = 8,
 ) -> SearchResult:
     """Answer every row of ``queries`` (query_id, text and, without encoder, v).
 
-    ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
+    With an ``index`` of the vector column only the ``n_probe`` cells nearest to a query
+    are searched; probing all of them gives the exact list. ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
     callers that read more than the fused list.
     """
     asked = queries.where(has_content("text"))
     vectors = encode_queries(asked, encoder, normalized) if encoder is not None else asked.select("query_id", "v")
-    vector = vector_search(vectors, items.select("id", F.col(vector_col).alias("v")), k)
+    if index is None:
+        vector = vector_search(vectors, items.select("id", F.col(vector_col).alias("v")), k)
+    else:
+        vector = ann_knn(vectors, index, k, n_probe)
     lexical = lexical_search(
         asked.select("query_id", strip("text").alias("text")), items, text, postings, lex_limit, stem
     )

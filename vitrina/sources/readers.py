@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrina.operators.ordering import number_in_file_order
 from vitrina.schema import LOAD_SCHEMA
 from vitrina.session import parallelism
 
@@ -23,7 +24,7 @@ def csv_source(
 
     A file with quoted line breaks cannot be split, so each file is one task; the
     rows are spread right after the scan when there are fewer files than cores.
-    ``line_order`` adds an increasing number in file order, for ``first_n``.
+    ``line_order`` adds a number that increases by file name and line, for ``first_n``.
     """
     rows = (
         spark.read.schema(schema)
@@ -32,7 +33,9 @@ def csv_source(
         .csv(path)
     )
     if line_order:
-        rows = rows.withColumn(line_order, F.monotonically_increasing_id())
+        # Files are packed into tasks by size; their names decide the order.
+        placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
+        rows = number_in_file_order(placed, "__file", "__at", line_order).drop("__file", "__at")
     if rows.rdd.getNumPartitions() < parallelism(spark):
         rows = rows.repartition(parallelism(spark))
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
@@ -69,3 +72,9 @@ def resolve_images(rows: DataFrame, objects: DataFrame, bucket: str) -> DataFram
         F.count("*").alias("n_rows")
     )
     return objects.join(wanted, "path")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads it from."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

@@ -566,3 +566,13 @@ ORACLE["stream_ingest"] = f"""SELECT lang AS country_code, source AS city_code,
   CAST(sum(length({strip('text')})) AS BIGINT) AS n_chars, max('s3://{BUCKET}/dataset/' || doc_id) AS last_url
 FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''
 GROUP BY 1, 2"""
+
+# --- forms that must agree with others -------------------------------------------
+
+ORACLE["ann_knn_stored"] = ORACLE["ann_knn_all_cells"]
+ORACLE["hybrid_search_indexed"] = ORACLE["rrf_fusion"]
+ORACLE["ann_recall"] = f"SELECT count(*) AS n, true AS enough FROM ({ORACLE['ann_knn_all_cells']})"
+ORACLE["encode_images"] = """
+SELECT doc_id AS id, CAST(64 AS BIGINT) AS dimension FROM documents
+WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 2
+"""

@@ -360,6 +360,24 @@ def ann_knn_all_cells(spark, sf_dir):
     return rounded(found.select("query_id", "id", "rank", "score"))
 
 
+@register
+def ann_knn_stored(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = ann.build_cells(rows, n_cells=16).write(scratch_dir(spark, "index"))
+    found = ann.ann_knn(rows.withColumnRenamed("id", "query_id"), index, K, n_probe=16, exclude_self=True)
+    return rounded(found.select("query_id", "id", "rank", "score"))
+
+
+@register
+def ann_recall(spark, sf_dir):
+    """Whether three quarters of the cells find nine tenths of the exact neighbours."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = ann.build_cells(rows, n_cells=16)
+    found = ann.ann_knn(rows.withColumnRenamed("id", "query_id"), index, K, n_probe=12, exclude_self=True)
+    exact = similarity.knn_join(rows, K).select(F.col("id").alias("query_id"), F.col("neighbour_id").alias("id"))
+    return ann.recall_against(found, exact).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @register
 def knn_join_pruned(spark, sf_dir):
     out = ann.exact_knn(vectors(spark, sf_dir).select("id", "v"), K, n_cells=16)
@@ -447,6 +465,28 @@ def hybrid_search(spark, sf_dir):
     return rounded(named.select(*FUSED, "name", "image_path"))
 
 
+@register
+def hybrid_search_indexed(spark, sf_dir):
+    """The vector list from a stored index of which every cell is probed."""
+    items = search_items(spark, sf_dir)
+    index = ann.build_cells(items.select("id", F.col("text_vector").alias("v")), n_cells=16).write(scratch_dir(spark, "index"))
+    result = search.hybrid_search(query_table(spark, sf_dir), items, "text_vector", ENCODER, index=index, n_probe=16)
+    return rounded(result.fused.select(*FUSED))
+
+
+@register
+def encode_images(spark, sf_dir):
+    """Which pending rows get an image vector: those whose path names an object."""
+    base = os.path.abspath(sf_dir).strip("/")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("nation", "region", "absent")]), (F.col("id") % 3 + 1).cast("int"))
+    rows = catalog(spark, sf_dir).withColumn("s3_url", F.concat(F.lit(f"s3://{base}/"), name, F.lit(".parquet"))).withColumn(
+        "image_vector", F.lit(None).cast("array<float>")
+    )
+    objects = readers.image_source(spark, sf_dir, "{nation,region}.parquet")
+    found = backfill.encode_images(rows, "image_vector", ENCODER, objects, BUCKET)
+    return found.select("id", F.size("image_vector").cast("long").alias("dimension"))
+
+
 @register
 def rrf_fusion(spark, sf_dir):
     _, result = hybrid(spark, sf_dir)

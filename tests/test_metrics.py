@@ -173,3 +173,10 @@ def test_neighbour_shares(spark):
     row = labels.label_consistency(rows, "label").first()
     assert row.label_consistency_1 == 1.0 and row.label_consistency_10 == pytest.approx(1 / 3)
     assert list(itertools.chain(row)) == [1.0, pytest.approx(1 / 3), pytest.approx(1 / 3)]
+
+
+def test_neighbour_metrics_need_rows_and_labels(spark):
+    m = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]
+    assert labels.knn1_accuracy(frame(spark, m, label=["a", "a", "a"]), "label").count() == 0
+    assert labels.label_consistency(frame(spark, m[:2], label=["a", "b"]), "label").count() == 0
+    assert labels.knn1_accuracy(frame(spark, m, label=["a", "b", "a"]), "label").count() == 1

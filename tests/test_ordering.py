@@ -47,3 +47,20 @@ def test_first_n_counts_after_the_filter(spark):
 def test_sample_by_id(spark):
     df = spark.range(10).withColumn("v", F.when(F.col("id") % 2 == 1, F.lit(1)))
     assert [r.id for r in ordering.sample_by_id(df, 2, ["id"], ["v"]).orderBy("id").collect()] == [1, 3]
+
+
+def test_first_n_over_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("(id * 7919) % 20011 AS k", "id AS wide").repartition(8)
+    keys = sorted(r.k for r in df.collect())
+    for n in (1, 2_500, 19_999, 20_000, 30_000):
+        assert sorted(r.k for r in ordering.first_n(df, "k", n).collect()) == keys[:n]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vitrina.session import scratch_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(cluster, "x")

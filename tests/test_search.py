@@ -143,3 +143,59 @@ def test_rank_limit_is_applied_before_the_shuffle(spark):
     scored = spark.range(100).select((F.col("id") % 3).alias("query_id"), "id", F.rand(1).alias("s"))
     plan = lexical._best(scored, "s", 5)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"WindowGroupLimit", plan)
+
+
+def test_blank_queries_have_one_rule(spark):
+    from vitrina.operators import fusion
+
+    queries = spark.createDataFrame([(1, "\t"), (2, " "), (3, None), (4, "x")], "query_id long, text string")
+    none = spark.createDataFrame([], "query_id long, id long, rank int, lex_score double, score double, lex_rank int, vec_rank int, hybrid_score double, product_name string")
+    answers = {r.query_id: r.answer for r in fusion.answer_summary(queries, none).collect()}
+    errors = {r.query_id: r.error for r in fusion.trace(queries, none, none, none, {"k": 1}).collect()}
+    assert all((answers[i] == fusion.BLANK_QUERY) == (errors[i] == "empty_text") for i in (1, 2, 3, 4))
+    assert errors[1] == "empty_text" and errors[4] is None
+
+
+def test_blocks_of_queries_agree(spark, monkeypatch):
+    from vitrina.operators import lexical
+
+    items = spark.createDataFrame([(i, f"pan blanco {i % 3} leche", f"texto {i % 5} con agua") for i in range(40)], "id long, product_name string, product_description string")
+    queries = spark.createDataFrame([(1, "pan leche"), (2, "agua"), (3, "pan vino"), (4, "de la"), (5, "blanco texto")], "query_id long, text string")
+    run = lambda: [sorted(map(str, f(queries, items).collect())) for f in (lexical.lexical_search, lexical.bm25_search)]
+    whole = run()
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", 8)
+    assert run() == whole and whole[0]
+    with pytest.raises(ValueError):
+        lexical.bm25_search(queries, postings=lexical.build_postings(items, lexical.search_text()))
+
+
+def test_encoder_sees_pending_texts_only(spark, tmp_path):
+    from dataclasses import dataclass
+
+    import numpy as np
+
+    from vitrina.operators import backfill
+
+    @dataclass(frozen=True)
+    class Counting:
+        folder: str
+        dim: int = 2
+
+        def open(self):
+            import os
+            import uuid
+
+            def encode(texts):
+                with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as out:
+                    out.write(str(len(texts)))
+                return np.ones((len(texts), 2))
+
+            return encode
+
+    rows = [(i, f"name {i}", None if i % 20 == 0 else [1.0, 0.0]) for i in range(100)]
+    products = spark.createDataFrame(rows, "id long, product_name string, v array<float>").withColumns(
+        {c: F.lit(None).cast("string") for c in ("store_name", "collection_section", "product_description")}
+    )
+    filled = backfill.embed_backfill(products, "v", Counting(str(tmp_path))).collect()
+    assert all(r.v is not None for r in filled)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 5

@@ -13,13 +13,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.functions.encoders import Encoder, HashingEncoder
-from vitrina.operators.backfill import embed_backfill
+from vitrina.operators.ann import build_cells, read_cells
+from vitrina.operators.backfill import embed_backfill, encode_images, merge_embeddings, reset_column
 from vitrina.operators.fusion import TOP_K, answer_summary, trace
 from vitrina.operators.lexical import LEXICAL_LIMIT
 from vitrina.plans import evaluation
 from vitrina.plans.ingest import ingest_csv, load_products
 from vitrina.plans.search import attach_fields, hybrid_search
-from vitrina.sources.readers import parquet_source
+from vitrina.sources.readers import image_source, parquet_source
 from vitrina.sources.writers import metrics_sink, trace_sink
 
 
@@ -57,6 +58,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--column", required=True)
     p.add_argument("--encoder", help="module:object")
     p.add_argument("--reset", action="store_true")
+    p.add_argument("--mode", choices=["text", "image"], default="text")
+    p.add_argument("--images", help="folder of the objects that image paths name")
+    p.add_argument("--bucket", help="bucket of paths that name none")
+
+    p = commands.add_parser("index", help="cells for approximate vector search")
+    p.add_argument("--products", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--column", required=True)
+    p.add_argument("--cells", type=int)
 
     p = commands.add_parser("search", help="answer a table of queries")
     p.add_argument("--products", required=True)
@@ -65,6 +75,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--column", default="text_emb_je3")
     p.add_argument("--encoder", help="module:object")
     p.add_argument("--k", type=int, default=TOP_K)
+    p.add_argument("--index", help="a stored index of the column")
+    p.add_argument("--n-probe", type=int, default=8)
     p.add_argument("--lexical-limit", type=int, default=LEXICAL_LIMIT)
     p.add_argument("--fusion", choices=["rrf", "blend"], default="rrf")
 
@@ -80,6 +92,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--text-col-queries")
     p.add_argument("--text-col-targets")
     p.add_argument("--text-only", action="store_true")
+    p.add_argument("--metrics", nargs="*", choices=evaluation.METRIC_FAMILIES, default=evaluation.METRIC_FAMILIES)
     return top
 
 
@@ -91,10 +104,10 @@ def report(spark: SparkSession, args: argparse.Namespace):
         return evaluation.relevance_report(products, proxy=args.proxy_column, limit=args.limit, seed=args.seed), args.proxy_column
     if args.family == "alignment":
         return evaluation.alignment_report(products, args.limit, args.text_col, args.image_col), None
-    text = args.text_col or evaluation.pick_column(products, evaluation.PAIRED_TEXT + evaluation.TEXT_COLUMNS)
-    image = None if args.text_only else args.image_col or evaluation.pick_column(products, evaluation.PAIRED_IMAGE)
+    text = args.text_col or evaluation.pick_column(products, evaluation.COMBINED_TEXT)
+    image = None if args.text_only else args.image_col or evaluation.pick_column(products, evaluation.COMBINED_IMAGE)
     return evaluation.combined_report(
-        products, text, image, args.text_col_queries, args.text_col_targets, limit=args.limit
+        products, text, image, args.text_col_queries, args.text_col_targets, limit=args.limit, metrics=tuple(args.metrics)
     ), None
 
 
@@ -114,17 +127,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         products = parquet_source(spark, args.products)
         if args.column not in products.columns:
             products = products.withColumn(args.column, F.lit(None).cast("array<float>"))
-        filled = embed_backfill(products, args.column, find_encoder(args.encoder), args.reset)
+        encoder = find_encoder(args.encoder)
+        if args.mode == "image":
+            pending = reset_column(products, args.column) if args.reset else products
+            objects = image_source(spark, args.images)
+            filled = merge_embeddings(pending, encode_images(pending, args.column, encoder, objects, args.bucket), args.column)
+        else:
+            filled = embed_backfill(products, args.column, encoder, args.reset)
         filled.write.mode("errorifexists").parquet(args.output)
         return args.output
+    if args.command == "index":
+        rows = parquet_source(spark, args.products).select("id", F.col(args.column).alias("v"))
+        build_cells(rows, args.cells).write(args.output)
+        return args.output
     if args.command == "search":
         products, queries = parquet_source(spark, args.products), parquet_source(spark, args.queries)
         result = hybrid_search(
             queries, products, args.column, find_encoder(args.encoder), args.k, args.lexical_limit,
-            method=args.fusion, stored=True,
+            method=args.fusion, stored=True, index=read_cells(spark, args.index) if args.index else None, n_probe=args.n_probe,
         )
         fields = {"name": "product_name", "text": "product_description", "image_url": "s3_url"}
-        named = attach_fields(result.fused, products, fields, queries)
+        named = attach_fields(result.fused, products, fields, queries, args.k)
         traces = trace(queries, result.lexical, result.vector, named, {"k": args.k})
         answers = answer_summary(queries, named, "name")
         return trace_sink(traces.join(answers, "query_id"), args.output)

@@ -94,6 +94,11 @@ def build_cells(items: DataFrame, n_cells: int | None = None, seed: int = 42) ->
         raise ValueError(f"n_cells must lie between 1 and {MAX_CELLS}")
     n = rows.count()
     n_cells = min(n_cells or min(max(round(math.sqrt(n)), 1), MAX_CELLS), max(n, 1))
+    if n_cells == 1:
+        # Any centre serves; without vectors there is nothing to place.
+        one = rows.select("v").first()
+        centre = np.array([one.v if one else [1.0]], dtype=float)
+        return CellIndex(centre / (np.linalg.norm(centre) + 1e-8), _with_cells(rows, centre, 1))
     features = spread(rows).select(array_to_vector(l2_normalize("v")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features").fit(features)
     centres = np.asarray(model.clusterCenters())

@@ -94,12 +94,27 @@ def neighbour_metrics(ranked: DataFrame, ks: tuple[int, ...] = KS, groups: list[
     )
 
 
+def enough(df: DataFrame, label: Column) -> bool:
+    """Whether neighbour metrics mean anything: three vectors or more, and two labels."""
+    seen = df.where(F.col("v").isNotNull()).agg(F.count("*").alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).first()
+    return seen.n >= 3 and seen.low != seen.high
+
+
+def nearest_metrics(df: DataFrame, label: Column | str, ks: tuple[int, ...] = KS) -> DataFrame:
+    """1-NN accuracy and label consistency of a whole table; no row for too few vectors or labels."""
+    label = label_or_none(label)
+    if not enough(df, label):
+        df = df.limit(0)
+    found = neighbour_metrics(neighbours(df, max(ks, default=1), label), ks)
+    return found.where(F.col("knn_1_acc").isNotNull())
+
+
 def knn1_accuracy(df: DataFrame, label: Column | str) -> DataFrame:
-    return neighbour_metrics(neighbours(df, 1, label_or_none(label)), ()).select("knn_1_acc")
+    return nearest_metrics(df, label, ()).select("knn_1_acc")
 
 
 def label_consistency(df: DataFrame, label: Column | str, ks: tuple[int, ...] = KS) -> DataFrame:
-    return neighbour_metrics(neighbours(df, max(ks), label_or_none(label)), ks).drop("knn_1_acc")
+    return nearest_metrics(df, label, ks).drop("knn_1_acc")
 
 
 def silhouette(df: DataFrame, label: Column | str, group: Column | str | None = None) -> DataFrame:

@@ -171,13 +171,26 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
 def first_n(df: DataFrame, order_key: str, n: int | None) -> DataFrame:
     """First ``n`` rows by a unique key; 0 or None keeps all.
 
-    The cut-off is found on the key column alone, then rows are filtered by it, so
-    wide rows never meet in one task.
+    The cut-off is found on the key column alone: rows are counted by range, and only
+    the range in which the n-th key lies is ordered. Then rows are filtered by it, so
+    neither wide rows nor n keys ever meet in one task.
     """
     if not n:
         return df
     keys = df.select(order_key).where(F.col(order_key).isNotNull())
-    cut = keys.orderBy(order_key).limit(n).agg(F.max(order_key).alias("cut")).scalar()
+    rows = keys.count()
+    if rows <= n:
+        return df.where(F.col(order_key).isNotNull())
+    (bounds,) = range_bounds(keys, [order_key], rows)
+    ranged = with_range(keys, order_key, bounds, "__range")
+    # One row per range.
+    before = 0
+    for r in sorted(ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()):
+        if before + r.n >= n:
+            break
+        before += r.n
+    inside = ranged.where(F.col("__range") == r["__range"]).select(order_key).orderBy(order_key).limit(n - before)
+    cut = inside.agg(F.max(order_key)).first()[0]
     return df.where(F.col(order_key) <= cut)
 
 

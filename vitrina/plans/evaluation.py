@@ -11,18 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.text import normalize_label
-from vitrina.operators.ann import neighbours
 from vitrina.operators.labels import (
     by_group, cluster_agreement, filter_separation, hybrid_recall, kmeans_clusters, label_cardinality,
-    neighbour_metrics, silhouette,
+    nearest_metrics, silhouette,
 )
 from vitrina.operators.ordering import sample_by_id
 from vitrina.operators.pairs import align_pairs, pair_separation, pair_stats, retrieval_metrics, text_pair_retrieval
 from vitrina.schema import pick_column, vector_checks
 
+# The vector columns that each report tries, in order.
 TEXT_COLUMNS = ["text_emb_e5", "text_emb_gte", "text_emb_je3"]
 PAIRED_TEXT = ["text_emb_clip_multi", "clip_text_emb"]
 PAIRED_IMAGE = ["image_emb_clip", "clip_image_emb"]
+COMBINED_TEXT = ["clip_text_emb", "text_emb_clip_multi", "text_emb_gte", "text_emb_e5", "text_emb_je3"]
+COMBINED_IMAGE = ["clip_image_emb", "image_emb_clip"]
+METRIC_FAMILIES = ("pairs", "retrieval", "labels", "clusters")
 
 
 def long_form(df: DataFrame, embedding: str, scope: str, scope_column: str | None = None) -> DataFrame:
@@ -68,9 +71,8 @@ def relevance_report(
     for c in [c for c in columns if c in df.columns]:
         rows = sample.select("id", F.col(c).alias("v"), label.alias("label"), "country_code")
         clusters = kmeans_clusters(rows, "label", seed=seed)
-        near = neighbours(rows, 10, F.col("label"))
         for metrics in (
-            neighbour_metrics(near), silhouette(rows, "label").select("silhouette"),
+            nearest_metrics(rows, "label"), silhouette(rows, "label").select("silhouette"),
             cluster_agreement(clusters, "label", "cluster"), label_cardinality(rows, "label"),
         ):
             parts.append(long_form(metrics, c, "overall"))
@@ -103,7 +105,7 @@ def alignment_report(df: DataFrame, limit: int | None = None, text: str | None =
 def combined_report(
     df: DataFrame, text: str, image: str | None = None, query_text: str | None = None,
     target_text: str | None = None, label: str = "collection_section", limit: int | None = None,
-    metrics: tuple[str, ...] = ("pairs", "retrieval", "labels", "clusters"),
+    metrics: tuple[str, ...] = METRIC_FAMILIES,
 ) -> DataFrame:
     """The older combined report: choose metric families and columns.
 
@@ -114,6 +116,11 @@ def combined_report(
     sample = sample_by_id(df, limit, require=require)
     parts = []
     if image and {"pairs", "retrieval"} & set(metrics):
+        checked = vector_checks(sample, text, image)
+        parts.append(long_form(checked.select("pairs"), text, "checks"))
+        # Columns of different dimensions cannot be compared.
+        comparable = bool(checked.first()["pairs"])
+        metrics = metrics if comparable else tuple(m for m in metrics if m not in ("pairs", "retrieval"))
         pairs = align_pairs(sample, text, image)
         if "pairs" in metrics:
             parts.append(long_form(pair_stats(pairs), text, "pair_stats"))
@@ -123,9 +130,8 @@ def combined_report(
         parts.append(long_form(text_pair_retrieval(sample, query_text, target_text), query_text, "text_to_text"))
     rows = sample.select("id", F.col(text).alias("v"), F.col(label).alias("label"))
     if "labels" in metrics:
-        near = neighbour_metrics(neighbours(rows, 1, F.coalesce("label", F.lit("None"))), ())
         parts += [
-            long_form(near, text, "labels"), long_form(silhouette(rows, "label").select("silhouette"), text, "labels"),
+            long_form(nearest_metrics(rows, "label", ()), text, "labels"), long_form(silhouette(rows, "label").select("silhouette"), text, "labels"),
         ]
     if "clusters" in metrics:
         clusters = kmeans_clusters(rows, "label")

@@ -134,8 +134,8 @@ def fit(
 
     ``ratings`` has the key and grade (0 to grades - 1); null keys and grades are left out
     and the smallest of several ratings counts. The sample is the ``rows`` keys with the
-    smallest hashes; their features, not their texts, come to the driver. No rated
-    documents give a model that finds all grades alike.
+    smallest hashes; one task trains on their features, and the weights alone come to the
+    driver. No rated documents give a model that finds all grades alike.
     """
     rated = ratings.select(F.col(key).alias("key"), F.col("grade").cast("int").alias("grade")).where(
         F.col("key").isNotNull() & F.col("grade").between(0, grades - 1)
@@ -156,21 +156,28 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), *lists], ["key", "grade", "f", "v"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    # One row per key, whatever the table repeats; as Arrow, which takes the room of the numbers only.
-    found = sample.mapInArrow(run, f"key {kind}, grade int, f array<int>, v array<float>").dropDuplicates(["key"]).toArrow()
-    found = found.sort_by("key").combine_chunks()
-    if not found.num_rows:
-        nothing = np.zeros(0, np.int64)
-        return fit_ordinal(nothing, nothing, nothing.astype(float), nothing, grades)
-    lists = [found.column(c).combine_chunks() for c in ("f", "v")]
-    sizes = lists[0].value_lengths().to_numpy()
-    feature, value = (x.flatten().to_numpy() for x in lists)
-    # A feature of one document tells nothing of others.
-    shared = np.bincount(feature, minlength=DIMENSIONS + 1)[feature] > 1
-    row = np.repeat(np.arange(len(sizes)), sizes)[shared]
-    return fit_ordinal(
-        row, feature[shared].astype(np.int64), value[shared].astype(np.float64), found.column("grade").to_numpy().astype(np.int64), grades,
-    )
+    # One row per key, whatever the table repeats.
+    found = sample.mapInArrow(run, f"key {kind}, grade int, f array<int>, v array<float>").dropDuplicates(["key"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The whole sample, at most ``rows`` rows of numbers, in one task."""
+        parts = list(batches)
+        sizes, feature, value, grade = (
+            np.concatenate([np.zeros(0, kind), *[take(b).to_numpy(zero_copy_only=False) for b in parts]]).astype(kind)
+            for take, kind in (
+                (lambda b: b.column("f").value_lengths(), np.int64), (lambda b: b.column("f").flatten(), np.int64),
+                (lambda b: b.column("v").flatten(), np.float64), (lambda b: b.column("grade"), np.int64),
+            )
+        )
+        # A feature of one document tells nothing of others.
+        shared = np.bincount(feature, minlength=DIMENSIONS + 1)[feature] > 1
+        row = np.repeat(np.arange(len(sizes)), sizes)[shared]
+        model = fit_ordinal(row, feature[shared], value[shared], grade, grades)
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights], "thresholds": [model.thresholds]})
+
+    trained = found.repartition(1).sortWithinPartitions("key").mapInArrow(train, "weights array<double>, thresholds array<double>")
+    model = trained.toArrow()
+    return OrdinalModel(*(model.column(c).combine_chunks().flatten().to_numpy() for c in ("weights", "thresholds")))
 
 
 def grading(model: OrdinalModel, text: Column) -> Column:

@@ -23,7 +23,7 @@ def test_edges(spark, docs_of):
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(labelled)
     assert [name for name, _ in model.dictionaries] == ["de", "en"]
-    docs = docs_of([(1, None), (2, ""), (3, "12 !!"), (4, english), (5, german), (6, german * 2000), (6, german * 2000), (7, "퟿")])
+    docs = docs_of([(1, None), (2, ""), (3, "12 ² Ⅷ !!"), (4, english), (5, german), (6, german * 2000), (6, german * 2000), (7, "퟿")])
     found = {r.doc_id: r.p for r in docs.select("doc_id", langid.prediction(model, F.col("text")).alias("p")).collect()}
     assert [found[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and found[1].score == 0
     assert found[4].lang_pred == "en" and found[5].lang_pred == found[6].lang_pred == "de"

@@ -23,6 +23,7 @@ SAMPLE_ROWS = 200
 SAMPLE_CHARS = 300
 DICTIONARY_BYTES = 1 << 14
 CHUNK_BYTES = 1 << 11
+SALTS = 64
 # A best size that is less than this share below the second best is too close to trust.
 LEAST_MARGIN = 0.002
 
@@ -62,7 +63,7 @@ class LanguageModel:
 
         def classify(text: str | None):
             known = letters(text or "")
-            if not known or not names:
+            if not names or not any(map(str.isalpha, known)):
                 return UNDETERMINED, 0.0, 0.0, True
             # Blanks around it, as first and last words then match like any other.
             content = f" {known} ".encode("utf-8", "replace")
@@ -95,10 +96,12 @@ def fit(
     known = labelled.select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("h")
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    first = Window.partitionBy("lang").orderBy("h")
+    first = lambda *part: F.row_number().over(Window.partitionBy("lang", *part).orderBy("h"))
+    # Salted before the language itself, so that a frequent language never meets in one task.
     chosen = (
-        known.select("lang", "h").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
-        .select("h").distinct()
+        known.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
+        .withColumn("place", first("salt")).where(F.col("place") <= rows)
+        .withColumn("place", first()).where(F.col("place") <= rows).select("h").distinct()
     )
     hashes = [r.h for r in chosen.collect()]
     sample = known.where(F.col("h").isin(hashes)).select("lang", "h", F.substring("text", 1, chars).alias("text")).groupBy(

@@ -86,7 +86,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(learnt_from(docs))
     found = docs.select("doc_id", langid.prediction(model, F.col("text")).alias("p"))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return found.select("doc_id", held_out.alias("held_out"), "p.lang_pred", "p.score", "p.margin", "p.rejected")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "p.lang_pred", "p.score", "p.margin", "p.rejected")
 
 
 # Grades: toxic, poor, good.

@@ -9,38 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrina.llm import langid, minhash, mixing, packing, quality
-from vitrina.llm.common import table
+from vitrina.llm.common import prepared, table
 from vitrina.llm.queries import GRADES, learnt_from, ratings
-from vitrina.session import materialize, ship_package
+from vitrina.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is decided."""
-    ship_package(spark)
+    prepared(spark)
     return langid.accepted(docs, langid.fit(learnt_from(docs)))
 
 
 def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are most likely of the highest grade."""
-    ship_package(spark)
+    prepared(spark)
     return quality.selected(docs, quality.fit(docs, ratings(spark, sf_dir), GRADES))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    ship_package(spark)
+    prepared(spark)
     return minhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents until each source has its share of words."""
-    ship_package(spark)
+    prepared(spark)
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2,048 tokens."""
-    ship_package(spark)
+    prepared(spark)
     return packing.packed(docs)
 
 

@@ -17,10 +17,22 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; its functions can then run on the executors."""
+# Bytes of an Arrow batch between Spark and Python: bounds the buffers of both sides of every task.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session whose executors have this package, with small Arrow batches unless it sets their size itself."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; functions of this package can run on the executors."""
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:

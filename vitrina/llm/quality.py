@@ -169,10 +169,7 @@ def fit(
                 (lambda b: b.column("v").flatten(), np.float64), (lambda b: b.column("grade"), np.int64),
             )
         )
-        # A feature of one document tells nothing of others.
-        shared = np.bincount(feature, minlength=DIMENSIONS + 1)[feature] > 1
-        row = np.repeat(np.arange(len(sizes)), sizes)[shared]
-        model = fit_ordinal(row, feature[shared], value[shared], grade, grades)
+        model = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), feature, value, grade, grades)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights], "thresholds": [model.thresholds]})
 
     trained = found.repartition(1).sortWithinPartitions("key").mapInArrow(train, "weights array<double>, thresholds array<double>")

@@ -74,6 +74,25 @@ def test_one_of_each(docs_of):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
 
 
+def test_texts_that_share_an_id_or_have_none_stay_apart(docs_of):
+    rng = np.random.default_rng(9)
+    a, b, c, d, e = (invented(rng, 60, 10_000) for _ in range(5))
+    near = lambda words: " ".join([*words, "more"])
+    rows = [
+        (None, near(a)), (5, " ".join(a)), (None, near(b)), (9, " ".join(b)), (None, " ".join(c)), (None, near(c)),
+        (12, " ".join(d)), (12, " ".join(e)), (13, near(d)), (14, near(e)),
+    ]
+    found = compared(docs_of, rows)
+    assert [found[i][0][1] for i in (5, 9, 13, 14)] == [5, 9, 12, 12]
+    assert sorted(str(x) for _, x in found[None]) == ["5", "9", "None", "None"]
+    assert sorted(x for _, x in found[12]) == [12, 12]
+    kept = [(r.doc_id, r.text) for r in minhash.one_of_each(docs_of(rows)).collect()]
+    assert len(kept) == 5
+    assert sorted(t for i, t in kept if i == 12) == sorted([" ".join(d), " ".join(e)])
+    for words in (a, b, c):
+        assert sum(t in (" ".join(words), near(words)) for _, t in kept) == 1
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(7)
     base = invented(rng, 400, 10_000)

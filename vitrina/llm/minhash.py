@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrina.llm.common import words_of
 from vitrina.llm.components import components
@@ -163,7 +164,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components that the links join have become one."""
+    """Labels after the components that the links join have become one.
+
+    A label is the least (id, node) of its component: nodes that share an id stay apart.
+    """
     joined = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     return materialize(
         labels.join(joined, labels["label"] == joined["id"], "left").select(
@@ -175,7 +179,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, n, label) of the buckets whose members are not all connected yet."""
     labelled = members.join(labels, "node")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    own = F.col("label.node")
+    open_keys = labelled.groupBy("key").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("key")
     return labelled.join(open_keys, "key")
 
 
@@ -192,7 +197,7 @@ def _hub_pairs(apart: DataFrame, order: list[Column]) -> DataFrame:
     me = F.struct("node", "n", "label")
     hubs = apart.groupBy("key").agg(F.min_by(me, F.struct(*order, "node")).alias("hub"))
     met = apart.join(hubs, "key").where(
-        (F.col("label") != F.col("hub.label")) & _possible(F.col("n"), F.col("hub.n"))
+        (F.col("label.node") != F.col("hub.label.node")) & _possible(F.col("n"), F.col("hub.n"))
     ).groupBy("node", "label", "hub").agg(F.count("*").alias("bands"))
     best = met.groupBy("node", "label").agg(F.max_by("hub", F.struct("bands", "hub.node")).alias("hub"))
     return best.select(
@@ -224,7 +229,7 @@ def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     placed = apart.join(sized, "key").withColumn("own", F.xxhash64("node"))
     columns = ["key", "i", "j", "side", "node", "n", "label"]
-    left = placed.where(F.col("label") != F.col("main")).withColumn("i", F.pmod("own", "few")).withColumn(
+    left = placed.where(F.col("label.node") != F.col("main.node")).withColumn("i", F.pmod("own", "few")).withColumn(
         "j", F.explode(numbers(F.col("all")))
     ).withColumn("side", F.lit(0))
     right = placed.withColumn("j", F.pmod("own", "all")).withColumn("i", F.explode(numbers(F.col("few")))).withColumn("side", F.lit(1))
@@ -232,7 +237,9 @@ def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     tiled = left.select(*columns).unionByName(right.select(*columns)).join(folded, "node")
 
     def pairs_in(group: pa.Table) -> pa.RecordBatch:
-        side, node, n, label = (group.column(c).to_numpy() for c in ("side", "node", "n", "label"))
+        side, node, n = (group.column(c).to_numpy() for c in ("side", "node", "n"))
+        labels = group.column("label").combine_chunks()
+        label = labels.field("node").to_numpy()
         lists = group.column("folded").combine_chunks()
         row = np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy())
         _, value = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -256,7 +263,7 @@ def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = np.nonzero((100 * common >= THRESHOLD * union) & (label[left][:, None] != label[right][None, :]))
         a, b = left[x], right[y]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (node[a], node[b], label[a], label[b])], ["a", "b", "la", "lb"]
+            [pa.array(node[a]), pa.array(node[b]), labels.take(pa.array(a)), labels.take(pa.array(b))], ["a", "b", "la", "lb"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +283,7 @@ def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
             yield pairs_in(pa.Table.from_batches(rest))
 
     found = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        run, "a long, b long, la long, lb long"
+        run, "a long, b long, la struct<id: long, node: long>, lb struct<id: long, node: long>"
     )
     # Two sets may meet in several buckets, and twice in one.
     smaller = F.col("a") < F.col("b")
@@ -285,16 +292,8 @@ def _tile_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     ]).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``.
-
-    Documents are linked when 100 * intersection >= 75 * union of their sets of five-word
-    shingles; component_id is the least id that can be reached. Null, empty and wordless
-    texts have no shingles and are linked with nothing: their component is their own id.
-    Rows with equal texts are one node; a null id counts as larger than all others and
-    comes back as null if nothing else is in its component. Other columns are ignored
-    whatever their names. An empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, node, n, label) for every row; label is the least (id, node) of its component, null without words."""
     signed = materialize(signatures(docs, id_column, text_column), "signatures")
     reps = materialize(
         signed.where("n > 0").groupBy("node").agg(
@@ -306,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = materialize(banded.join(several, "key").select("key", "node"), "buckets")
     wanted = materialize(reps.select("node", "id", "n").join(members.select("node").distinct(), "node"), "candidates")
     sets = materialize(_sets_of(docs, wanted, id_column, text_column), "sets")
-    labels = wanted.select("node", "n", F.col("id").alias("label"))
+    labels = wanted.select("node", "n", F.struct("id", "node").alias("label"))
 
     for order in ([F.xxhash64("node", F.lit(1))], [F.xxhash64("node", F.lit(2))]):
         pairs = _hub_pairs(_apart(members, labels), order)
@@ -319,35 +318,65 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = materialize(_tile_pairs(_apart(members, labels), sets), "pairs")
     labels = _relabelled(labels, _confirmed(pairs, sets))
 
-    final = reps.select("node", "id").join(labels.select("node", "label"), "node", "left").select(
-        "node", F.coalesce("label", "id").alias("label")
+    final = reps.select("node", F.struct("id", "node").alias("own")).join(labels.select("node", "label"), "node", "left").select(
+        "node", F.coalesce("label", "own").alias("label")
     )
-    joined = signed.select("id", "node", "n").join(final, "node", "left")
-    return joined.select(
+    return signed.select("id", "node", "n").join(final, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``.
+
+    Documents are linked when 100 * intersection >= 75 * union of their sets of five-word
+    shingles; component_id is the least id that can be reached. Null, empty and wordless
+    texts have no shingles and are linked with nothing: their component is their own id.
+    Rows with equal texts are one node; a null id counts as larger than all others and
+    comes back as null if nothing else is in its component. Rows that only share an id, or
+    have none, are not linked by that. Other columns are ignored whatever their names. An
+    empty table gives no rows.
+    """
+    least = F.col("label.id")
+    return _labelled(docs, id_column, text_column).select(
         "id", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") == 0) | (F.col("label") == _NO_ID), F.col("id")).otherwise(F.col("label")).alias("component_id"),
+        F.when((F.col("n") == 0) | (least == _NO_ID), F.col("id")).otherwise(least).alias("component_id"),
     )
 
 
+def _node(text: Column) -> Column:
+    """The node of each text."""
+
+    @F.arrow_udf(T.LongType())
+    def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            steps = _steps([pa.RecordBatch.from_arrays([batch], ["text"])], "text")
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *[_nodes(*shingle_sets(s.column("text"))) for s in steps]]))
+
+    return node.asNondeterministic()(text.cast("string"))
+
+
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without near duplicates, with their own columns: of each component the least id.
 
-    Rows without an id go by a hash of the whole row instead; of rows that share an id and
-    stay, any one is kept. Texts without words are all kept, but for repeated ids.
+    Rows without an id go by a hash of the whole row instead. Different texts that share an
+    id are documents of their own; of one component's rows with the least id those with the
+    least node (the 64-bit sum over the set) count, and of those any one is kept. Texts
+    without words are all kept, but for repeated ids among them.
     """
-    key = "__key"
+    key, node = "__key", "__node"
     keyed = docs.withColumn(key, F.coalesce(F.col(id_column).cast("long"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    found = materialize(near_duplicates(keyed, key, text_column).select("id", "component_id"), "near-duplicates")
-    stays = found.where(F.col("id") == F.col("component_id")).select("id")
-    goes = materialize(
-        found.where(F.col("id") != F.col("component_id")).select("id").distinct().join(stays, "id", "left_anti"), "removed"
-    )
-    repeated = materialize(stays.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
-    without = lambda rows, ids, how: rows.join(
-        F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[key] == ids["id"], how
-    )
+    stays = (F.col("n") == 0) | ((F.col("id") == F.col("label.id")) & (F.col("node") == F.col("label.node")))
+    found = materialize(_labelled(keyed, key, text_column).select("id", "node", stays.alias("stays")), "near-duplicates")
+    fates = found.groupBy("id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    goes = materialize(fates.where("not stays").select("id"), "removed")
+    repeated = materialize(fates.where("stays and n > 1").select("id"), "repeated")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    without = lambda rows, ids, how: rows.join(few(ids), rows[key] == ids["id"], how)
     kept = without(keyed, goes, "left_anti")
     if repeated.isEmpty():
         return kept.drop(key)
     single = without(kept, repeated, "left_anti")
-    return single.unionByName(without(kept, repeated, "left_semi").dropDuplicates([key])).drop(key)
+    # An id alone does not tell which of its rows stay: their texts do.
+    chosen = materialize(found.where("stays").join(few(repeated), "id", "left_semi").select("id", "node").distinct(), "chosen")
+    several = without(kept, repeated, "left_semi").withColumn(node, _node(F.col(text_column)))
+    several = several.join(few(chosen), (several[key] == chosen["id"]) & (several[node] == chosen["node"]), "left_semi")
+    return single.unionByName(several.dropDuplicates([key, node]).drop(node)).drop(key)

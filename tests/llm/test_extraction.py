@@ -30,6 +30,22 @@ def test_short_blocks_follow_their_neighbours():
     assert main_text(page) == f"{PROSE}\nNear."
 
 
+FINNISH = "Vanha kalastaja lähti aamulla merelle ja palasi vasta illalla, kun aurinko laski saarten taakse. Verkoissa oli tusinoittain ahvenia."
+CODE = "result = compute(matrix, vector); print(result.shape); assert result.shape == expected_shape; total += result.sum()"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<nav>Home</nav><p>Short text.</p><footer>Imprint</footer>", "Short text."),
+    (f"<nav>Home</nav><p>{PROSE}</p><p>The end.</p><footer>Imprint</footer>", f"{PROSE}\nThe end."),
+    (f"<nav>Home</nav><h1>Meri</h1><p>{FINNISH}</p><p>{FINNISH * 3}</p><footer>Imprint</footer>", f"Meri\n{FINNISH}\n{FINNISH * 3}"),
+    (f"<div><p>{PROSE}</p><pre>{CODE}</pre><p>{PROSE}</p></div>", f"{PROSE}\n{CODE}\n{PROSE}"),
+    (f"<p>{FINNISH}</p><div><a href=1>{FINNISH}</a></div><nav>Home</nav>", FINNISH),
+    ("<nav>Home</nav><footer>Imprint</footer>", ""),
+])
+def test_pages_without_an_article(page, text):
+    assert main_text(page) == text
+
+
 def test_column(spark):
     rows = [(1, *CASES[5]), (1, *CASES[5]), (2, None, ""), (3, f"<article>{'<p>' + PROSE + '</p>'}" * 3000, None)]
     frame = spark.createDataFrame(rows, "page_id long, html string, text string").select("page_id", F.col("text").alias("url"), "html")

@@ -3,7 +3,9 @@
 A page is cut into blocks at its block elements. The first pass decides blocks by where
 they stand (containers of menus, adverts, comments and so on; the article element), by the
 share of their text in links, by length and by the density of stop words. The second pass
-gives short blocks that stay ambiguous the label of the nearest decided neighbour.
+gives blocks that stay ambiguous the label of the nearest neighbour decided by density.
+Few stop words alone decide nothing: they are also few in languages without a list, in
+lists, tables and code.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> bool | None:
-    """Whether a block is main text; None if it is too short to tell."""
+    """Whether a block is main text; None if its place, length and density do not tell."""
     if block.beside:
         return False
     if block.article:
@@ -244,18 +246,19 @@ def first_pass(block: Block) -> bool | None:
     density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if density >= MANY_STOP_WORDS:
         return True if len(block.text) > LONG_CHARS or links <= FEW_LINKS else None
-    if density >= LEAST_STOP_WORDS:
-        return True if len(block.text) > LONG_CHARS and links <= FEW_LINKS else None
-    return False
+    if density >= LEAST_STOP_WORDS and len(block.text) > LONG_CHARS and links <= FEW_LINKS:
+        return True
+    return None
 
 
 def main_text(page: str | None) -> str:
     """Main text of a page, one line per block; empty if there is none."""
     found = blocks(page or "")
     labels = [first_pass(b) for b in found]
-    decided = [i for i, label in enumerate(labels) if label is not None]
-    if not decided:
-        return "\n".join(b.text for b in found)
+    # What stands beside the article says nothing about the blocks between.
+    decided = [i for i, label in enumerate(labels) if label is not None and not found[i].beside]
+    if not any(labels[i] for i in decided):
+        return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label is not False)
     out, k = [], 0
     for i, block in enumerate(found):
         label = labels[i]
@@ -275,8 +278,9 @@ def main_text(page: str | None) -> str:
 def extracted(html: Column) -> Column:
     """Main text of an html column; a null or empty page has the empty text.
 
-    The whole page is read, however long. Pages whose blocks are all too short to decide
-    are kept as they are. A page that ends inside a tag loses that tag only.
+    The whole page is read, however long. Where density finds no main text, all blocks stay
+    that neither stand beside the article nor consist of links. A page that ends inside a
+    tag loses that tag only.
     """
 
     @F.arrow_udf(T.StringType())

@@ -348,7 +348,7 @@ def knn_join(spark, sf_dir):
 def ann_knn(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("id", "v")
     index = ann.build_cells(rows)
-    found = ann.ann_knn(rows.withColumnRenamed("id", "query_id"), index, K, n_probe=4, exclude_self=True)
+    found = ann.ann_knn(rows.withColumnRenamed("id", "query_id"), index, K, exclude_self=True)
     return rounded(found.select("query_id", "id", "rank", "score"))
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrina.operators import ann, similarity
+from vitrina.session import materialize
 
 
 def unit(m):
@@ -118,6 +119,19 @@ def test_probing_every_cell_is_exact(spark, data, small_blocks):
     assert 0.3 < few.recall <= 1 and few.n == len(exact)
 
 
+def test_default_probes_reach_the_recall_target(spark):
+    m = np.random.default_rng(21).normal(size=(600, 16))
+    rows = frame(spark, m)
+    index = ann.build_cells(rows)
+    index = ann.CellIndex(index.centres, materialize(index.rows, "cells"))
+    wanted = spark.createDataFrame([(i, j) for i, j, _ in brute_knn(m, 5)], "query_id long, id long")
+    queries = rows.select(F.col("id").alias("query_id"), "v")
+    recall = lambda **how: ann.recall_against(ann.ann_knn(queries, index, 5, exclude_self=True, **how), wanted).first().recall
+    by_probes = ann.recall_by_probes(index, 5)
+    assert by_probes[-1] == 1 and abs(recall(n_probe=4) - by_probes[3]) < 0.05
+    assert recall() > 0.87 and by_probes[3] < 0.87
+
+
 def test_ragged_vectors_are_an_error(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, v array<float>").coalesce(1)
     with pytest.raises(Exception, match="different dimensions"):

@@ -76,7 +76,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--encoder", help="module:object")
     p.add_argument("--k", type=int, default=TOP_K)
     p.add_argument("--index", help="a stored index of the column")
-    p.add_argument("--n-probe", type=int, default=8)
+    p.add_argument("--n-probe", type=int, help="cells to search; by default nine tenths of the neighbours are found")
     p.add_argument("--lexical-limit", type=int, default=LEXICAL_LIMIT)
     p.add_argument("--fusion", choices=["rrf", "blend"], default="rrf")
 

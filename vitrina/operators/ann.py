@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.vectors import l2_normalize
-from vitrina.operators.similarity import DECIMALS, Block, against, make_block, similarities, top_k_rows
+from vitrina.operators.similarity import DECIMALS, Block, against, make_block, similarities, top_k_rows, vector_search
 from vitrina.session import materialize, spread
 
 # Centres travel with the tasks; more are an error, not a silent change.
 MAX_CELLS = 1 << 16
+# Without a number of probes: the share of the exact neighbours to find, and the vectors it is measured on.
+RECALL = 0.9
+RECALL_SAMPLE = 512
 
 
 @dataclass
@@ -125,13 +128,44 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def recall_by_probes(index: CellIndex, k: int) -> np.ndarray:
+    """Share of the ``k`` exact neighbours found with 1, 2, ... all cells probed.
+
+    Measured on ``RECALL_SAMPLE`` stored vectors (smallest hashes of their ids) against all
+    others, which one pass reads in place; the driver gets the sample and its neighbours.
+    """
+    sample = index.rows.select("id", "v", "label").orderBy(F.xxhash64("id"), "id").limit(RECALL_SAMPLE).toArrow()
+    recall = np.ones(len(index.centres))
+    if not sample.num_rows:
+        return recall
+    asked = index.rows.sparkSession.createDataFrame(sample).select(F.col("id").alias("query_id"), "v")
+    found = vector_search(asked, index.rows.select("id", "v"), k + 1).where("query_id <> id").select("query_id", "id", "score")
+    nearest = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    cells = index.rows.select("id", "pool").join(F.broadcast(nearest.where(F.col("rank") <= k)), "id").select("query_id", "pool").toPandas()
+    if not len(cells):
+        return recall
+    scores = np.round(make_block(sample).units @ index.centres.T, DECIMALS)
+    order = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)
+    row = {x: i for i, x in enumerate(sample.column("id").to_pylist())}
+    at = order[[row[x] for x in cells.query_id], cells.pool.astype(int)]
+    return np.cumsum(np.bincount(at, minlength=len(recall))) / len(at)
+
+
+def probes_for(index: CellIndex, k: int, recall: float = RECALL) -> int:
+    """The least number of probed cells that finds the share ``recall`` of the exact neighbours of a sample."""
+    return int(np.argmax(recall_by_probes(index, k) >= min(recall, 1.0))) + 1
+
+
 def ann_knn(
-    queries: DataFrame, index: CellIndex, k: int, n_probe: int, exclude_self: bool = False
+    queries: DataFrame, index: CellIndex, k: int, n_probe: int | None = None, exclude_self: bool = False, recall: float = RECALL
 ) -> DataFrame:
     """(query_id, id, score, rank): ``k`` nearest among the probed cells.
 
-    A cell with many vectors is cut into blocks like any other pool.
+    Without ``n_probe`` it follows from ``recall``, measured on stored vectors; queries that
+    are unlike those can find less. A cell with many vectors is cut into blocks like any
+    other pool.
     """
+    n_probe = probes_for(index, k, recall) if n_probe is None else n_probe
     probes = _with_cells(queries.withColumnRenamed("query_id", "id"), index.centres, n_probe)
     return _rank(_search(index, probes, k, exclude_self).drop("same"), k)
 

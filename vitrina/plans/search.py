@@ -55,12 +55,13 @@ def hybrid_search(
     queries: DataFrame, items: DataFrame, vector_col: str, encoder: Encoder | None = None,
     k: int = fusion.TOP_K, lex_limit: int = LEXICAL_LIMIT, text: Column | None = None,
     postings: DataFrame | None = None, method: str = "rrf", stem: bool = True, normalized: bool = False,
-    stored: bool = False, index: CellIndex | None = None, n_probe: int = 8,
+    stored: bool = False, index: CellIndex | None = None, n_probe: int | None = None,
 ) -> SearchResult:
     """Answer every row of ``queries`` (query_id, text and, without encoder, v).
 
     With an ``index`` of the vector column only the ``n_probe`` cells nearest to a query
-    are searched; probing all of them gives the exact list. ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
+    are searched, by default as many as find nine tenths of the neighbours of stored vectors
+    (measured in one pass over them); probing all of them gives the exact list. ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
     callers that read more than the fused list.
     """
     asked = queries.where(has_content("text"))

@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in sorted(LLM_QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(LLM_QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(LLM_SQL))
@@ -24,7 +24,7 @@ def test_query(spark, monkeypatch, name):
     assert tool.compare(spark, tool.connect(SMALL), name, SMALL).startswith("ok")
 
 
-@pytest.mark.parametrize("name, rows", [("op5_token_counts", 200), ("op6_quality", 200), ("op8_mixing", 200), ("op10_extraction", 50)])
+@pytest.mark.parametrize("name, rows", [("op5_token_counts", 200), ("op6_quality", 200), ("op8_mixing", 200), ("op10_extraction", 50), ("op12_token_files", 200)])
 def test_whole_tables(spark, name, rows):
     found = LLM_QUERIES[name](spark, SMALL)
     assert found.select(found.columns[0]).distinct().count() == rows

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import attribution, chat, extraction, langid, minhash, mixing, packing, phrases, quality, topk
+from vitrina.llm import attribution, chat, extraction, langid, minhash, mixing, packing, phrases, quality, rans, runs, topk, trie
 from vitrina.llm.common import table
+from vitrina.session import scratch_dir
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -166,3 +167,96 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to files and read back; the digests are of what the files hold."""
+    path = scratch_dir(spark, "token-files")
+    rans.write(table(spark, sf_dir, "documents"), path)
+    return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.chunks(table(spark, sf_dir, "conversations"))))
+
+
+# The checksum of a decimal number, bit by bit, as an expression over its digits.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({digits}, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, d: list_reduce(list_prepend(xor(c, d), [0::BIGINT FOR _ IN range(8)]),
+      lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+LLM_SQL["op11_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+    struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS v
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(v ORDER BY p) AS vs FROM turns GROUP BY c),
+taken AS (SELECT *, CAST({_CRC32.format(digits="CAST(c AS VARCHAR)")} % 6 AS BIGINT) AS h FROM own),
+whole AS (
+  SELECT o.c, list_concat(CASE WHEN o.h > 0 THEN coalesce(b.vs, [])[1:o.h] ELSE [] END, o.vs[o.h + 1:]) AS s
+  FROM taken o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+reached AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS depth FROM whole),
+begun AS (
+  SELECT c, depth, len(s) = depth AS ends, CASE WHEN depth = 0 THEN [] ELSE s[1:depth] END AS path,
+    CASE WHEN depth = 0 THEN 0 ELSE length(s[depth].t) END AS chars FROM reached),
+nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends
+  FROM begun GROUP BY path, depth),
+families AS (
+  SELECT depth - 1 AS depth, CASE WHEN depth = 1 THEN [] ELSE path[1:depth - 1] END AS path, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL),
+kin AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(f.n_children, 0) AS n_children
+  FROM nodes n LEFT JOIN families f ON f.depth = n.depth AND f.path = n.path
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = (CASE WHEN n.depth = 1 THEN [] ELSE n.path[1:n.depth - 1] END)),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM kin),
+sums AS (
+  SELECT CASE WHEN up = 0 THEN [] ELSE path[1:up] END AS path, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM above GROUP BY 1)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, k.parent_conv_id, CAST(k.n_convs AS BIGINT) AS n_convs,
+  CAST(k.n_children AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(k.ends) AS ends_sha256
+FROM kin k JOIN sums s ON s.path = k.path
+"""
+
+LLM_SQL["op13_periodic_runs"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE CAST({_CRC32.format(digits="CAST(doc_id AS VARCHAR)")} AS BIGINT) END AS h FROM documents),
+planted AS (
+  SELECT d, doc_id, len(w) AS n, w, h % 10 = 0 AND len(w) > 0 AS p, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS m FROM docs),
+words AS (
+  SELECT d, n, i, CASE WHEN p AND i >= a THEN w[a + (i - a) % (1 + (n - a) // m) + 1] ELSE w[i + 1] END AS x
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM planted)),
+grams AS (
+  SELECT d, n, i, x, hash(x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM words
+  WINDOW o AS (PARTITION BY d ORDER BY i)),
+matched AS (
+  SELECT DISTINCT l.d, l.i - e.i AS q, l.i + s.s AS i FROM grams l
+  JOIN grams e ON l.d = e.d AND l.g = e.g AND e.i < l.i AND 4 * (l.i - e.i) <= l.n
+  JOIN (SELECT unnest(range(0, 5)) AS s) s ON l.i + s.s < l.n),
+islands AS (SELECT d, q, i, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS k FROM matched),
+stretches AS (SELECT d, min(i) - q AS start, count(*) + q AS length, q FROM islands GROUP BY d, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT d, start, length, min(q) AS period FROM stretches GROUP BY d, start, length),
+listed AS (
+  SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS all_runs,
+    max(struct_pack(l := length, s := -start, p := -period)) AS best FROM runs GROUP BY d),
+dropped AS (SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (
+  SELECT w.d, string_agg(w.x, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN dropped r ON w.d = r.d AND w.i = r.i GROUP BY w.d)
+SELECT p.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, CAST(-l.best.s AS BIGINT) AS start,
+  CAST(l.best.l AS BIGINT) AS length, CAST(-l.best.p AS BIGINT) AS period,
+  CAST(1000 * l.best.l // -l.best.p AS BIGINT) AS exponent_milli, sha256(coalesce(l.all_runs, '')) AS runs_sha256,
+  sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed l ON l.d = p.d LEFT JOIN collapsed c ON c.d = p.d
+"""

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -21,7 +22,7 @@ def plain_nodes(rows):
     whole = {}
     for c, turns in own.items():
         h = zlib.crc32(str(c).encode()) % 6
-        whole[c] = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+        whole[c] = tuple(own.get(c - math.fmod(c, 100), [])[:h] + turns[h:])
     members, children = {}, {}
     for c, turns in whole.items():
         for d in range(len(turns) + 1):

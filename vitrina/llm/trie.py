@@ -74,7 +74,7 @@ def rebuilt(pieces: DataFrame, heads: int = 6, group: int = 100) -> DataFrame:
 
     Conversation c takes the first h turns of conversation c - c % ``group`` (all if fewer,
     none if absent) and its own turns after its first h, where h is ``crc32`` of the decimal
-    id modulo ``heads``. Every conversation has a first chunk, which may be empty.
+    id modulo ``heads``; remainders are SQL's, towards zero. Every conversation has a first chunk, which may be empty.
     """
     few = pieces.where(F.col("first") < heads - 1).select("conv", "first", F.slice("turns", 1, heads - 1).alias("turns"))
     starts = few.groupBy(F.col("conv").alias("base")).agg(F.sort_array(F.collect_list(F.struct("first", "turns"))).alias("parts"))

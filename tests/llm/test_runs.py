@@ -75,5 +75,11 @@ def test_long_repeats_are_not_quadratic(text, found):
     assert runs.batch_runs([1], pa.array([text]), False)[0][1:5] == found
 
 
+def test_words_are_what_stands_between_white_space():
+    texts = ["".join(f"{chr(c)}{c}" for c in range(1, 300)), "", " ", "\u2003a\x1cb\x85c\xa0", " x  y\t"]
+    words, ends = runs.split(pa.array(texts))
+    assert [words.to_pylist()[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [WORDS.findall(t) for t in texts]
+
+
 def test_no_rows(docs_of):
     assert runs.periodic_runs(docs_of([])).count() == 0

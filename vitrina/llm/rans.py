@@ -14,6 +14,7 @@ ranges of document ids, in ascending order.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,24 +22,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import tokenizer_path
-from vitrina.llm.runs import split
 from vitrina.session import input_bytes, materialize, shuffle_partitions, spread
 
-LANES = 256
+LANES = 1024
 # Steps between checkpoints: as many tokens as this times the lanes.
-STEPS = 256
+STEPS = 128
 # Tokens after which a block ends with the document it is in.
-BLOCK_TOKENS = 1 << 18
-BLOCKS_PER_FILE = 32
+BLOCK_TOKENS = 1 << 19
+BLOCKS_PER_FILE = 16
 PART_BYTES = 256 << 20
 # Words whose ids a task remembers.
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 
+# Fixed value: the pieces of a word in lower case, for the tokenizer with word ends.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Signs between a letter or digit and white space: a piece of their own in any text.
+_LAST_SIGNS = r"([a-z0-9])([!-&(-/:-@\[-`{-~]+)([\x20\x09-\x0D])"
 # States lie between 2**31 and 2**63; a lane gives or takes 32 bits at a time.
 _LOWEST = np.uint64(1 << 31)
 _WORD_BITS = np.uint64(32)
@@ -48,15 +53,27 @@ _HEAD = struct.Struct("<8sQIIIQQQI")
 
 
 class Words:
-    """Ids of whole texts from a tokenizer that never joins text across white space.
+    """Ids of whole texts from the lower-casing tokenizer with word ends, which never joins text across white space.
 
     The words of a batch are looked up once each; the library encodes those not met before.
+    A word of printable ASCII and letters of Latin-1, without an added token, is cut into its
+    pieces here for the library's model; other words go through the whole library.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._library = Tokenizer.from_file(path)
+        self._model = self._library.model
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        added = "|".join(map(re.escape, self._added)) or "(?!)"
+        self._plain = re.compile(rf"(?!.*(?:{added}))[!-~À-ÖØ-öø-ÿ]*")
+        # The printable stand-ins of bytes: those that print stand for themselves, the others follow from 256 on.
+        visible = sorted(map(ord, ByteLevel.alphabet()))
+        own = {c for c in visible if c < 256}
+        others = iter(c for c in visible if c >= 256)
+        self._shown = [chr(b if b in own else next(others)) for b in range(256)]
         self.vocabulary = self._library.get_vocab_size(with_added_tokens=True)
         self._forget()
 
@@ -65,32 +82,56 @@ class Words:
         self._ids = np.zeros(0, np.uint32)
         self._ends = np.zeros(1, np.int64)
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        plain, cut, model = self._plain.fullmatch, _PIECE.findall, self._model.tokenize
+        found = []
+        for word in words:
+            if plain(word):
+                word = word.lower()
+                shown = word if word.isascii() else None
+                found.append([
+                    t.id for piece in cut(word)
+                    for t in model(piece if shown else "".join(self._shown[b] for b in piece.encode()))
+                ])
+            else:
+                found.append(self._library.encode(word, add_special_tokens=False).ids)
+        return found
+
     def _slots(self, words: list[str]) -> np.ndarray:
+        """Place of each word's ids."""
         if len(self._slot) > CACHED_WORDS:
             self._forget()
-        fresh = [w for w in words if w not in self._slot]
+        slot = self._slot
+        fresh = [w for w in words if w not in slot]
         if fresh:
-            ids = [e.ids for e in self._library.encode_batch(fresh, add_special_tokens=False)]
-            for w in fresh:
-                self._slot[w] = len(self._slot)
+            ids = self._encoded(fresh)
+            slot.update(zip(fresh, range(len(slot), len(slot) + len(fresh))))
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
             self._ids = np.concatenate([self._ids, flat])
             self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids])])
-        return np.array([self._slot[w] for w in words], np.int64)
+        return np.array([slot[w] for w in words], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and end); every text ends with ``end_id``."""
-        flat, bounds = split(texts)
-        coded = flat.dictionary_encode()
+        whole = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+        if not any(pc.any(pc.match_substring(whole, t[:2])).as_py() for t in self._added):
+            # Fewer different words: in lower case, and parted from the signs that end them.
+            whole = pc.replace_substring_regex(pc.ascii_lower(whole), _LAST_SIGNS, r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(whole)
+        coded = parts.flatten().dictionary_encode()
         slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         first, size = self._ends[slots], self._ends[slots + 1] - self._ends[slots]
         before = np.concatenate([[0], np.cumsum(size)])
-        picked = self._ids[np.arange(before[-1]) + np.repeat(first - before[:-1], size)]
-        ends = before[bounds]
-        n = len(bounds) - 1
-        out = np.full(len(picked) + n, end_id, np.uint32)
-        out[np.arange(len(picked)) + np.repeat(np.arange(n), np.diff(ends))] = picked
-        return out, ends + np.arange(n + 1)
+        ends = before[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])]
+        n = len(ends) - 1
+        # Each text's ids move on by the end ids before them.
+        ends += np.arange(n + 1)
+        out = np.empty(int(ends[-1]), np.uint32)
+        own = np.ones(len(out), bool)
+        own[ends[1:] - 1] = False
+        out[~own] = end_id
+        out[own] = self._ids[np.arange(before[-1]) + np.repeat(first - before[:-1], size)]
+        return out, ends
 
 
 @lru_cache(maxsize=2)

@@ -25,7 +25,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import WORD_BREAK
 from vitrina.session import spread
 
 # A run has at least this many words, and this many periods.
@@ -159,7 +158,8 @@ def repeated(order: np.ndarray, doc_id: int | None) -> np.ndarray:
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of texts, and where each text's words begin and end."""
     whole = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
-    parts = pc.split_pattern_regex(whole, WORD_BREAK)
+    # ASCII white space is what separates words: blank and 9 to 13.
+    parts = pc.ascii_split_whitespace(whole)
     words = parts.flatten()
     filled = pc.not_equal(pc.binary_length(words), 0)
     before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])

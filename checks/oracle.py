@@ -562,6 +562,20 @@ ORACLE["balanced_sample"] = with_(VECTORS) + """SELECT id, label FROM (
   SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) AS rn FROM vectors) WHERE rn <= 20"""
 ORACLE["near_duplicates"] = f"""SELECT md5(t) AS text_key, count(*) AS copies, min(doc_id) AS kept_id
 FROM (SELECT doc_id, {normalized('text')} AS t FROM documents) GROUP BY 1 HAVING count(*) > 1"""
+ORACLE["similar_groups"] = f"""WITH RECURSIVE worded AS (
+  SELECT doc_id AS id, list_filter(string_split({normalized('text')}, ' '), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM worded),
+nodes AS (SELECT s, min(id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+owned AS (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM owned a JOIN owned b ON a.x = b.x AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS node, min(b) AS least FROM reached GROUP BY a)
+SELECT d.id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.least, d.id) AS group_id
+FROM sets d LEFT JOIN nodes o ON d.s = o.s LEFT JOIN least c ON c.node = o.node"""
 ORACLE["stream_ingest"] = f"""SELECT lang AS country_code, source AS city_code, count(*) AS n_rows,
   CAST(sum(length({strip('text')})) AS BIGINT) AS n_chars, max('s3://{BUCKET}/dataset/' || doc_id) AS last_url
 FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vitrina.functions import text as tx
 from vitrina.functions import vectors as vx
 from vitrina.functions.encoders import HashingEncoder
-from vitrina.operators import ann, backfill, fusion, ingest, labels, lexical, ordering, pairs, similarity
+from vitrina.operators import ann, backfill, fusion, ingest, labels, lexical, near, ordering, pairs, similarity
 from vitrina.plans import search
 from vitrina.plans.catalog import (
     AUTO_STORE_PREFIX, BUCKET, MARKETS, catalog, query_table, second_vector, table, vectors,
@@ -666,6 +666,11 @@ def near_duplicates(spark, sf_dir):
     return ingest.near_duplicates(spread(catalog(spark, sf_dir)), "product_description")
 
 
+@register
+def similar_groups(spark, sf_dir):
+    return near.similar_groups(catalog(spark, sf_dir), "product_description")
+
+
 @register
 def stream_ingest(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema

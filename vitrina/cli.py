@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.encoders import Encoder, HashingEncoder
 from vitrina.operators.ann import build_cells, read_cells
+from vitrina.operators.near import SIMILARITY, WORDS, similar_groups
 from vitrina.operators.backfill import embed_backfill, encode_images, merge_embeddings, reset_column
 from vitrina.operators.fusion import TOP_K, answer_summary, trace
 from vitrina.operators.lexical import LEXICAL_LIMIT
@@ -68,6 +69,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--column", required=True)
     p.add_argument("--cells", type=int)
 
+    p = commands.add_parser("duplicates", help="groups of products with similar texts")
+    p.add_argument("--products", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--column", default="product_description")
+    p.add_argument("--similarity", type=float, default=SIMILARITY)
+    p.add_argument("--words", type=int, default=WORDS)
+
     p = commands.add_parser("search", help="answer a table of queries")
     p.add_argument("--products", required=True)
     p.add_argument("--queries", required=True, help="Parquet with query_id and text")
@@ -140,6 +148,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         rows = parquet_source(spark, args.products).select("id", F.col(args.column).alias("v"))
         build_cells(rows, args.cells).write(args.output)
         return args.output
+    if args.command == "duplicates":
+        products = parquet_source(spark, args.products)
+        similar_groups(products, args.column, similarity=args.similarity, words=args.words).write.parquet(args.output)
+        return args.output
     if args.command == "search":
         products, queries = parquet_source(spark, args.products), parquet_source(spark, args.queries)
         result = hybrid_search(

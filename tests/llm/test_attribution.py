@@ -11,7 +11,6 @@ def token_offsets(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).offsets
 
 

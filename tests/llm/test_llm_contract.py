@@ -1,7 +1,5 @@
 """Registered queries against their SQL, and the pipeline against a plain computation."""
 
-import sys
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,10 +73,3 @@ def test_pipeline(spark):
             assert docs.agg(F.sum("length")).first()[0] >= len(rows_before)
             assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
     assert corpus_pipeline.run(spark, SMALL).count() == seen[-1]
-
-
-def test_entry_works_without_the_subpackage():
-    import __spark_entry__ as entry
-
-    assert "pipeline" in entry.queries() and "op9_near_duplicates" in entry.oracle_sql()
-    assert "vitrina.llm" in sys.modules

@@ -10,13 +10,11 @@ from vitrina.llm.common import byte_bpe, tokenizer_path
 def tokens_of(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", [
-    "", " ", "a  b\n\n c\t", "it's I'LL we're", "naïve café ½ ⅷ １２", "你好 世界", "😀👩‍👩‍👧", "<|endoftext|> x", " \u0085\xa0 x", "x" * 300,
+    "", " ", "a  b\n\n c\t", "it's I'LL we're", "naïve café ½ ⅷ １２", "你好 世界", "😀👩‍👩‍👧", "<|endoftext|> x", "a  <|endoftext|><|endoftext|>\n\nb <|endoftext|", " \u0085\xa0 x", "x" * 300,
 ])
 def test_ids_equal_those_of_the_library(text):
     encode, sizes = byte_bpe(tokenizer_path("byte_bpe_50k.json"))

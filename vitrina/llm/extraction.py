@@ -1,11 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at its block elements. The first pass decides blocks by where
-they stand (containers of menus, adverts, comments and so on; the article element), by the
-share of their text in links, by length and by the density of stop words. The second pass
-gives blocks that stay ambiguous the label of the nearest neighbour decided by density.
-Few stop words alone decide nothing: they are also few in languages without a list, in
-lists, tables and code.
+A page is cut into blocks at its block elements; what containers of menus, adverts, comments
+and so on hold is left out. The first pass decides the other blocks, inside an article or
+not, by the share of their text in links, by length and by the density of stop words. The
+second pass gives blocks that stay ambiguous the label of the nearest neighbour decided so.
+Inside an article only neighbours in the article count that are text, so that a line beside
+a list of links stays. Few stop words alone decide nothing: they are also few in languages
+without a list, in lists, tables and code.
 """
 
 from __future__ import annotations
@@ -41,14 +42,15 @@ se si sin sobre son su sus también un una y ya
 
 BLOCKS = frozenset("""
 address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure
-footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript object ol option p pre search
+footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noscript object ol option p pre search
 section select summary svg table tbody td template tfoot th thead tr ul video audio canvas
 """.split())
 # Their content is no markup; it ends at the closing tag only.
 RAW = frozenset(["script", "style", "textarea", "title", "xmp", "noembed", "noframes"])
 # Elements that never hold main text.
 NEVER = frozenset("""
-audio button canvas dialog footer form head iframe menu nav aside noscript object option search select svg template video
+audio button canvas dialog footer head iframe label legend menu nav aside noscript object option search select svg template
+video
 """.split())
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # Words of class and id names that mark a container as beside the article.
@@ -58,6 +60,13 @@ consent cookie cookies disclaimer discussion disqus footer gdpr login masthead m
 notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search
 share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget
 """.split())
+# Words that may stand beside those in one class name; any other word makes the name say nothing.
+NEUTRAL = frozenset("""
+area article bar blog block body bottom box c card center column container content copy desktop div element entry fixed foot
+for form frame global group head header holder id info inner item items js l label left link links list main message mobile
+module my new news our outer page panel placeholder post primary reader region right row second secondary section site slot
+space sticky story sub text the thread title top ui unit user wrap wrapper your zone
+""".split())
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -76,6 +85,7 @@ class Block:
     linked: int
     beside: bool
     article: bool
+    form: bool
     heading: bool
 
 
@@ -94,12 +104,16 @@ def _is_beside(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in NEVER_ROLES:
             return True
         if name in ("class", "id"):
-            parts = {p.lower() for p in _PARTS.findall(value)}
-            # An article may be named after what surrounds it, but comments are never the article.
-            if tag in ARTICLE:
-                parts &= {"comment", "comments", "reply", "teaser"}
-            if parts & BESIDE or ("header" in parts and not in_article):
-                return True
+            for token in value.split():
+                parts = {p.lower() for p in _PARTS.findall(token)}
+                # An article may be named after what surrounds it, but comments are never the article.
+                if tag in ARTICLE:
+                    parts &= {"comment", "comments", "reply", "teaser"}
+                # "site-footer" names a container, "has-sidebar" and "notice-board" do not.
+                if parts & BESIDE and not parts - BESIDE - NEUTRAL:
+                    return True
+                if "header" in parts and not in_article and not parts - NEUTRAL:
+                    return True
     return False
 
 
@@ -154,8 +168,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order: white space within is one blank, character references are decoded."""
     out: list[Block] = []
-    # Open elements: tag, whether beside, whether in the article.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: tag, whether beside, whether in the article, whether in a form outside it.
+    stack: list[tuple[str, bool, bool, bool]] = []
     pieces: list[str] = []
     linked, links, heading, raw, seen_article = 0, 0, False, False, False
 
@@ -164,8 +178,8 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                _, beside, article = stack[-1] if stack else ("", False, False)
-                out.append(Block(text, linked, beside, article, heading))
+                _, beside, article, form = stack[-1] if stack else ("", False, False, False)
+                out.append(Block(text, linked, beside, article, form, heading))
             pieces.clear()
         linked, heading = 0, False
 
@@ -199,17 +213,17 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
             if name == "hr":
                 continue
-            _, beside, article = stack[-1] if stack else ("", False, False)
+            _, beside, article, form = stack[-1] if stack else ("", False, False, False)
             own = _is_beside(name, content, article)
             if name == "span" and own:
                 flush()
             if name in ARTICLE and not own and not seen_article:
-                structural = any(t in NEVER for t, _, _ in stack)
-                seen_article, article = True, True
+                structural = any(t in NEVER for t, *_ in stack)
+                seen_article, article, form = True, True, False
                 beside = beside and structural
             elif name in ARTICLE and not own and not beside:
                 article = True
-            stack.append((name, beside or own, article))
+            stack.append((name, beside or own, article, form or (name == "form" and not article)))
             heading = name in HEADINGS or (heading and name == "span")
             if content.rstrip().endswith("/") and name in ("svg", "iframe"):
                 stack.pop()
@@ -231,11 +245,9 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> bool | None:
-    """Whether a block is main text; None if its place, length and density do not tell."""
+    """Whether a block is main text; None if links, length and density do not tell."""
     if block.beside:
         return False
-    if block.article:
-        return True
     size = len(block.text.replace(" ", ""))
     links = block.linked / max(size, 1)
     if links > MOST_LINKS:
@@ -251,36 +263,57 @@ def first_pass(block: Block) -> bool | None:
     return None
 
 
+def second_pass(found: list[Block], labels: list[bool | None], decided: list[int], inside: bool) -> None:
+    """Give ambiguous blocks (those of articles, or the others) the label of the nearest decided one."""
+    k = 0
+    for i, block in enumerate(found):
+        if labels[i] is not None or block.article != inside:
+            continue
+        while k < len(decided) and decided[k] < i:
+            k += 1
+        before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
+        if before is None or after is None:
+            nearest = after if before is None else before
+        else:
+            # A heading belongs to what follows; ties go there, too.
+            nearest = after if block.heading or after - i <= i - before else before
+        labels[i] = labels[nearest]
+
+
+def labelled(found: list[Block]) -> list[bool]:
+    """Whether each block is main text."""
+    labels = [first_pass(b) for b in found]
+    # A form is beside the text, unless the page has its text nowhere else.
+    if any(b.article and not b.beside for b in found) or any(label and not b.form for b, label in zip(found, labels, strict=True)):
+        labels = [False if b.form else label for b, label in zip(found, labels, strict=True)]
+        beside = [b.beside or b.form for b in found]
+    else:
+        beside = [b.beside for b in found]
+    # What stands beside the article says nothing about the blocks between.
+    first = list(labels)
+    for inside in (True, False):
+        decided = [
+            i for i, b in enumerate(found)
+            if first[i] is not None and not beside[i] and (not inside or (b.article and first[i]))
+        ]
+        if any(first[i] for i in decided):
+            second_pass(found, labels, decided, inside)
+    return [label is not False for label in labels]
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page, one line per block; empty if there is none."""
     found = blocks(page or "")
-    labels = [first_pass(b) for b in found]
-    # What stands beside the article says nothing about the blocks between.
-    decided = [i for i, label in enumerate(labels) if label is not None and not found[i].beside]
-    if not any(labels[i] for i in decided):
-        return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label is not False)
-    out, k = [], 0
-    for i, block in enumerate(found):
-        label = labels[i]
-        if label is None:
-            while k < len(decided) and decided[k] < i:
-                k += 1
-            before = decided[k - 1] if k else None
-            after = decided[k] if k < len(decided) else None
-            # A heading belongs to what follows; ties go there, too.
-            nearest = after if before is None or (after is not None and (block.heading or after - i <= i - before)) else before
-            label = labels[nearest]
-        if label:
-            out.append(block.text)
-    return "\n".join(out)
+    return "\n".join(b.text for b, kept in zip(found, labelled(found), strict=True) if kept)
 
 
 def extracted(html: Column) -> Column:
     """Main text of an html column; a null or empty page has the empty text.
 
     The whole page is read, however long. Where density finds no main text, all blocks stay
-    that neither stand beside the article nor consist of links. A page that ends inside a
-    tag loses that tag only.
+    that neither stand beside the article nor consist of links. A form is beside the text,
+    but an article in it is not, nor is a form that holds all there is. A page that ends
+    inside a tag loses that tag only. Repeated pages give a text each; no rows give none.
     """
 
     @F.arrow_udf(T.StringType())

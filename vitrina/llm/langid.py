@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrina.llm.common import free_name
+
 UNDETERMINED = "und"
 # The bound of the fit: rows of each language, characters of each row, bytes of a dictionary.
 SAMPLE_ROWS = 200
@@ -84,14 +86,16 @@ class LanguageModel:
 
 def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
-    least_margin: float = LEAST_MARGIN,
+    least_margin: float = LEAST_MARGIN, dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
-    """Dictionaries from labelled texts.
+    """Dictionaries from labelled texts, a bounded sample.
 
     Of each language the ``rows`` different texts with the smallest hashes count, with
-    their first ``chars`` characters: the bound of what comes to the driver is languages *
-    rows * chars, and the order of the input does not matter. Rows without text or label
-    are left out; copies count once. Without labelled rows every prediction is ``und``.
+    ``chars`` characters from a place in the text that its hash gives: the bound of what
+    comes to the driver is languages * rows * chars, and the order of the input does not
+    matter. A dictionary has at most ``dictionary_bytes``, an equal part of them from every
+    sampled text that is long enough. Rows without text or label are left out; copies count
+    once. Without labelled rows every prediction is ``und``.
     """
     known = labelled.select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("h")
@@ -104,15 +108,24 @@ def fit(
         .withColumn("place", first()).where(F.col("place") <= rows).select("h").distinct()
     )
     hashes = [r.h for r in chosen.collect()]
-    sample = known.where(F.col("h").isin(hashes)).select("lang", "h", F.substring("text", 1, chars).alias("text")).groupBy(
-        "lang", "h"
-    ).agg(F.min("text").alias("text"))
-    contents: dict[str, bytes] = {}
+    start = F.pmod("h", F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
+    piece = F.substr(F.col("text"), start.cast("int"), F.lit(chars))
+    sample = known.where(F.col("h").isin(hashes)).select("lang", "h", piece.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    pieces: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.h)):
-        if len(contents.setdefault(r.lang, b"")) < DICTIONARY_BYTES:
-            contents[r.lang] += letters(r.text).encode("utf-8", "replace") + b" "
-    kept = {name: content[:DICTIONARY_BYTES] for name, content in contents.items() if content.strip()}
-    return LanguageModel(tuple(sorted(kept.items())), least_margin)
+        pieces.setdefault(r.lang, []).append(letters(r.text).encode("utf-8", "replace"))
+    kept = {name: _joined([p for p in parts if p], dictionary_bytes) for name, parts in pieces.items()}
+    return LanguageModel(tuple(sorted((name, content) for name, content in kept.items() if content)), least_margin)
+
+
+def _joined(parts: list[bytes], size: int) -> bytes:
+    """Equal beginnings of all parts in at most ``size`` bytes, blanks between; what short parts leave goes to the others."""
+    each, left = 0, sorted(len(p) + 1 for p in parts)
+    for i, n in enumerate(left):
+        each = (size - sum(left[:i])) // (len(left) - i)
+        if n > each:
+            break
+    return b"".join(p[:max(each - 1, 0)] + b" " for p in parts)[:size]
 
 
 def prediction(model: LanguageModel, text: Column) -> Column:
@@ -137,6 +150,10 @@ def prediction(model: LanguageModel, text: Column) -> Column:
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows whose language is decided, with their own columns."""
-    own = "__language"
+    """The rows whose language is decided, with their own columns, whatever their names.
+
+    Null and empty texts and texts without a letter go; repeated rows stay or go together;
+    an empty table stays empty. A model without languages rejects all rows.
+    """
+    own = free_name(docs, "__language")
     return docs.withColumn(own, prediction(model, F.col(text))).where(~F.col(f"{own}.rejected")).drop(own)

@@ -1,8 +1,11 @@
 """Near duplicates by min-max hashing, with links confirmed on full shingle sets.
 
 Each permutation gives two signature values, the least and the greatest hash of a set, so
-64 hash evaluations give 128 values in 32 bands of four. Sets at the threshold of 0.75
-share no band with probability 5e-6.
+64 hash evaluations give 128 values in 32 bands of four, two permutations each. The chance
+that two sets at the threshold of 0.75 share no band depends on their size, as the least and
+the greatest hash of a small set are not independent: with c common of u members both agree
+with probability c(c-1)/(u(u-1)), and a link is lost with (1 - that squared) to the power of
+32. That is 1.0e-4 for 3 of 4 members, 2.0e-5 for 6 of 8, and nears 5e-6 for large sets.
 
 Equal sets are one node, so copies cost nothing further. Inside a bucket no pairs are
 written out: its members are compared with one hub, buckets whose members are connected
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import words_of
+from vitrina.llm.common import free_name, words_of
 from vitrina.llm.components import components
 from vitrina.session import materialize
 
@@ -360,9 +363,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Rows without an id go by a hash of the whole row instead. Different texts that share an
     id are documents of their own; of one component's rows with the least id those with the
     least node (the 64-bit sum over the set) count, and of those any one is kept. Texts
-    without words are all kept, but for repeated ids among them.
+    without words are all kept, but for repeated ids among them. Columns may have any names;
+    an empty table stays empty.
     """
-    key, node = "__key", "__node"
+    key, node = free_name(docs, "__key"), free_name(docs, "__node")
     keyed = docs.withColumn(key, F.coalesce(F.col(id_column).cast("long"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
     stays = (F.col("n") == 0) | ((F.col("id") == F.col("label.id")) & (F.col("node") == F.col("label.node")))
     found = materialize(_labelled(keyed, key, text_column).select("id", "node", stays.alias("stays")), "near-duplicates")

@@ -91,7 +91,11 @@ class Parsed:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(..., fingerprint) for every row, as base64 of its smallest phrase hashes; a null text is empty."""
+    """(..., fingerprint) for every row, as base64 of its smallest phrase hashes.
+
+    A null text is empty; equal texts have equal fingerprints; an empty table stays empty. A
+    column named fingerprint is replaced, all others stay.
+    """
 
     @F.arrow_udf("string")
     def fingerprint(texts: pa.Array) -> pa.Array:

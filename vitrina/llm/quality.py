@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrina.llm.common import words_of
+from vitrina.llm.common import free_name, words_of
 
 DIMENSIONS = 1 << 18
 # Letters of a beginning, which inflected forms of a word share.
@@ -86,6 +86,11 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    @property
+    def trained(self) -> bool:
+        """Whether any rated document shaped the weights."""
+        return bool(np.any(self.weights))
+
     def score(self, texts: pa.Array) -> np.ndarray:
         row, feature, value = features(texts)
         return np.bincount(row, self.weights[feature] * value, len(texts))
@@ -134,8 +139,9 @@ def fit(
 
     ``ratings`` has the key and grade (0 to grades - 1); null keys and grades are left out
     and the smallest of several ratings counts. The sample is the ``rows`` keys with the
-    smallest hashes; one task trains on their features, and the weights alone come to the
-    driver. No rated documents give a model that finds all grades alike.
+    smallest hashes, each with one text: of several texts of a key the one with the smallest
+    hash. One task trains on their features, and the weights alone come to the driver. No
+    rated documents give a model that finds all grades alike and is not ``trained``.
     """
     rated = ratings.select(F.col(key).alias("key"), F.col("grade").cast("int").alias("grade")).where(
         F.col("key").isNotNull() & F.col("grade").between(0, grades - 1)
@@ -143,6 +149,7 @@ def fit(
     # A list of at most ``rows`` keys.
     chosen = F.broadcast(rated.orderBy(F.xxhash64("key"), "key").limit(rows))
     sample = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(chosen, "key")
+    sample = sample.withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +160,13 @@ def fit(
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[order]))
                 for x in (feature.astype(np.int32), value.astype(np.float32))
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), *lists], ["key", "grade", "f", "v"])
+            own = [batch.column(c) for c in ("key", "grade", "h")]
+            yield pa.RecordBatch.from_arrays([*own, *lists], ["key", "grade", "h", "f", "v"])
 
     kind = sample.schema["key"].dataType.simpleString()
     # One row per key, whatever the table repeats.
-    found = sample.mapInArrow(run, f"key {kind}, grade int, f array<int>, v array<float>").dropDuplicates(["key"])
+    found = sample.mapInArrow(run, f"key {kind}, grade int, h long, f array<int>, v array<float>")
+    found = found.groupBy("key").agg(F.min_by(F.struct("grade", "f", "v"), "h").alias("one")).select("key", "one.*")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole sample, at most ``rows`` rows of numbers, in one task."""
@@ -201,6 +210,12 @@ def grading(model: OrdinalModel, text: Column) -> Column:
 
 
 def selected(docs: DataFrame, model: OrdinalModel, least_p_top: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose highest grade is likely enough, with their own columns."""
-    own = "__grading"
+    """The rows whose highest grade is likely enough, with their own columns, whatever their names.
+
+    A model that saw no rated document tells nothing, so all rows stay. Null and empty texts
+    go by the thresholds alone; repeated rows stay or go together; an empty table stays empty.
+    """
+    if not model.trained:
+        return docs
+    own = free_name(docs, "__grading")
     return docs.withColumn(own, grading(model, F.col(text))).where(F.col(f"{own}.p_top") >= least_p_top).drop(own)

@@ -489,6 +489,15 @@ agreement AS (
 
 CLUSTERED = "clustered AS (SELECT *, id % 10 AS cluster, 'all' AS whole FROM vectors)"
 ORACLE["ari"] = with_(VECTORS, CLUSTERED, agreement("clustered", "label", "cluster", "whole")) + "SELECT round(ari, 6) AS ari FROM agreement"
+ORACLE["agreement_by_grain"] = with_(
+    VECTORS, CLUSTERED, """grains AS (
+  SELECT CASE WHEN grouping(country) = 1 THEN 'overall' ELSE 'group' END AS grain, country, label, cluster, count(*) AS n
+  FROM clustered GROUP BY GROUPING SETS ((country, label, cluster), (label, cluster)))""",
+    """rows_of AS (SELECT grain || coalesce(country, '') AS whole, label, cluster, unnest(range(0, n)) AS i FROM grains)""",
+    agreement("rows_of", "label", "cluster", "whole"),
+) + """SELECT g.grain, g.country AS "group", round(any_value(a.ari), 6) AS ari, round(any_value(a.nmi), 6) AS nmi,
+  CAST(sum(n) AS BIGINT) AS samples, count(DISTINCT label) AS unique_labels
+FROM grains g JOIN agreement a ON a.grp = g.grain || coalesce(g.country, '') GROUP BY ALL"""
 ORACLE["nmi"] = with_(VECTORS, CLUSTERED, agreement("clustered", "label", "cluster", "whole")) + "SELECT round(nmi, 6) AS nmi FROM agreement"
 
 DISTANCES = """shifted AS (

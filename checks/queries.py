@@ -601,6 +601,17 @@ def nmi(spark, sf_dir):
     return rounded(labels.nmi(with_clusters(spark, sf_dir), "label", "cluster"))
 
 
+@register
+def agreement_by_grain(spark, sf_dir):
+    return rounded(labels.agreement_by_grain(with_clusters(spark, sf_dir), "label", "cluster", "country"))
+
+
+@register
+def by_group_clustered(spark, sf_dir):
+    """The default path: k-means inside every group."""
+    return rounded(labels.by_group(vectors(spark, sf_dir), "city", "country"))
+
+
 @register
 def pair_separation(spark, sf_dir):
     return rounded(pairs.pair_separation(catalog_pairs(spark, sf_dir)))

@@ -94,6 +94,44 @@ def test_kmeans_finds_plain_clusters_and_groups(spark):
     assert report["y"].samples == 30 and report["y"].unique_labels == 3
 
 
+def test_kmeans_costs_no_more_than_the_library(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(12, 8))
+    names = rng.integers(0, 12, 900)
+    m = centres[names] + 0.6 * rng.normal(size=(900, 8))
+    rows = frame(spark, m, label=[f"l{n}" for n in names], country=["x" if i % 3 else "y" for i in range(900)])
+    units = rows.select(array_to_vector(labels.l2_normalize("v")).alias("features"), "country")
+    found = labels.kmeans_clusters(rows, "label", "country").toPandas()
+    assert len(found) == 900 and set(found.group) == {"x", "y"}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for country in ("x", "y"):
+        own = found[found.group == country]
+        # The stated cost is that of the rows about the means of their clusters.
+        spread = sum(((unit[c.id] - unit[c.id].mean(axis=0)) ** 2).sum() for _, c in own.groupby("cluster"))
+        assert own.cost.iloc[0] == pytest.approx(spread, rel=2e-3)
+        part = units.where(units.country == country)
+        # Ten restarts against three fits of the library: no more than their mean.
+        costs = [KMeans(k=12, seed=s).fit(part).summary.trainingCost for s in range(3)]
+        assert own.cost.iloc[0] <= np.mean(costs), costs
+
+
+def test_centres_of_several_passes_and_edges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(80, 4))
+    rows = frame(spark, m, label=[f"l{i % 4}" for i in range(80)], country=[f"c{i % 5}" for i in range(80)])
+    whole = labels.kmeans_clusters(rows, "label", "country", n_init=3).toPandas()
+    monkeypatch.setattr(labels, "CENTRE_VALUES", 20)
+    parts = labels.kmeans_clusters(rows, "label", "country", n_init=3).toPandas()
+    assert whole.groupby("group").cost.first().to_dict() == pytest.approx(parts.groupby("group").cost.first().to_dict())
+    assert labels.kmeans_clusters(rows.limit(0), "label").count() == 0
+    assert labels.kmeans_clusters(rows.withColumn("label", labels.F.lit("one")), "label").count() == 0
+    same = frame(spark, np.ones((9, 4)), label=[f"l{i % 3}" for i in range(9)])
+    assert labels.kmeans_clusters(same, "label", n_init=2).select("id").count() == 9
+
+
 def test_pair_metrics_against_numpy(spark):
     rng = np.random.default_rng(9)
     a = rng.normal(size=(101, 6)).astype(np.float32).astype(float)

@@ -148,3 +148,40 @@ def test_pruned_knn_is_exact_and_skips_cells(spark, small_blocks):
     got = ann.exact_knn(rows, 5, n_cells=8).collect()
     assert {(r.id, r.neighbour_id, r["rank"]) for r in got} == brute_knn(m, 5)
     assert all(r.same == (r.id % 3 == r.neighbour_id % 3) for r in got)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_bounded_neighbours_equal_plain_ones(spark, monkeypatch, clustered):
+    from vitrina.operators import similarity as sim
+
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(700, 16))
+    if clustered:
+        m = rng.normal(size=(30, 16))[rng.integers(0, 30, 700)] * ([4.0] * 4 + [0.3] * 12) + 0.05 * m
+    m[5] = m[6] = m[600]
+    units = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+    scores = np.round(units @ units.T, 10)
+    np.fill_diagonal(scores, -np.inf)
+    expected = {(i, r + 1): (int(j), scores[i, j]) for i in range(700) for r, j in enumerate(np.lexsort((np.arange(700), -scores[i]))[:4])}
+    monkeypatch.setattr(sim, "WIDE_ROWS", 256)
+    monkeypatch.setattr(sim, "BLOCK_ROWS", 100)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, v array<double>")
+    found = {(r.id, r["rank"]): (r.neighbour_id, r.similarity) for r in sim.bounded_knn(rows, 4).collect()}
+    assert found.keys() == expected.keys()
+    assert all(found[x][0] == expected[x][0] and abs(found[x][1] - expected[x][1]) < 1e-9 for x in expected)
+    # Tight clusters: the bounds leave most pairs out.
+    axes = sim.principal_axes(rows)
+    block = sim.Block(None, np.arange(700), units)
+    monkeypatch.setattr(sim, "MOST_SCORED", 0.0 if clustered else 1.0)
+    whole = sim.bounded_top_k(units, block, np.arange(700), 4, axes)
+    monkeypatch.setattr(sim, "MOST_SCORED", 1.0 if clustered else 0.0)
+    bounded = sim.bounded_top_k(units, block, np.arange(700), 4, axes)
+    assert (whole[0] == bounded[0]).all() and (whole[1] == bounded[1]).all()
+
+
+def test_bounded_neighbours_of_few_rows(spark):
+    from vitrina.operators import similarity as sim
+
+    for n in (0, 1, 2):
+        rows = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(n)], "id long, v array<double>")
+        assert sim.bounded_knn(rows, 4).count() == n * (n - 1)

@@ -219,12 +219,6 @@ def exact_knn(rows: DataFrame, k: int, n_cells: int | None = None, n_probe: int
     )
 
 
-def neighbours(df: DataFrame, k: int, label: Column | None = None) -> DataFrame:
-    """Exact neighbours over a whole table, pruned by cells at every size."""
-    rows = df.where(F.col("v").isNotNull()).withColumn("label", F.lit("") if label is None else label)
-    return exact_knn(rows.select("id", "v", "label"), k)
-
-
 def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact neighbours (query_id, id) that the approximate list holds."""
     found = exact.select("query_id", "id").join(

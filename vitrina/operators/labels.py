@@ -6,11 +6,10 @@ being the class ``None``. ``group`` columns run a metric inside every group at o
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,8 +18,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.text import label_or_none
 from vitrina.functions.vectors import EPSILON, l2_normalize, norm
-from vitrina.operators.ann import neighbours
-from vitrina.operators.similarity import Block, against, as_matrix, knn_join
+from vitrina.operators.similarity import Block, against, as_matrix, bounded_knn, knn_join
 from vitrina.session import materialize, spread
 
 KS = (1, 5, 10)
@@ -28,6 +26,10 @@ KS = (1, 5, 10)
 PAIRS_PER_LABEL = 300
 RESTARTS = 10
 SEED = 42
+# k-means: passes at most, the movement of a coordinate that counts as none, and the numbers of all centres of a pass.
+TURNS = 20
+TOLERANCE = 1e-4
+CENTRE_VALUES = 1 << 24
 
 
 def label_cardinality(df: DataFrame, label: Column | str) -> DataFrame:
@@ -105,7 +107,7 @@ def nearest_metrics(df: DataFrame, label: Column | str, ks: tuple[int, ...] = KS
     label = label_or_none(label)
     if not enough(df, label):
         df = df.limit(0)
-    found = neighbour_metrics(neighbours(df, max(ks, default=1), label), ks)
+    found = neighbour_metrics(bounded_knn(df, max(ks, default=1), label), ks)
     return found.where(F.col("knn_1_acc").isNotNull())
 
 
@@ -185,6 +187,12 @@ def cluster_agreement(
         (F.lit("") if group is None else label_or_none(group)).alias("group"),
         label_or_none(label).alias("label"), label_or_none(cluster).alias("cluster"),
     ).agg(F.count("*").alias("n"))
+    out = agreement_of_cells(cells)
+    return out.drop("group") if group is None else out
+
+
+def agreement_of_cells(cells: DataFrame) -> DataFrame:
+    """(group, ari, nmi) of contingency cells (group, label, cluster, n)."""
     long = cells.select("group", "n", F.explode(F.array(
         F.struct(F.lit("cell").alias("kind"), F.col("label").alias("l"), F.col("cluster").alias("c")),
         F.struct(F.lit("label").alias("kind"), F.col("label").alias("l"), F.lit(None).cast("string").alias("c")),
@@ -209,7 +217,7 @@ def cluster_agreement(
     ceiling = (F.col("p_label") + F.col("p_cluster")) / 2
     mutual = F.log(N) + (F.col("e_cell") - F.col("e_label") - F.col("e_cluster")) / N
     h_label, h_cluster = F.log(N) - F.col("e_label") / N, F.log(N) - F.col("e_cluster") / N
-    out = sums.select(
+    return sums.select(
         "group",
         F.when((F.col("p_cell") == F.col("p_label")) & (F.col("p_cell") == F.col("p_cluster")), F.lit(1.0))
         .otherwise(F.try_divide(F.col("p_cell") - expected, ceiling - expected)).alias("ari"),
@@ -217,7 +225,27 @@ def cluster_agreement(
         .when(mutual <= 1e-15, F.lit(0.0))
         .otherwise(F.try_divide(mutual, (h_label + h_cluster) / 2)).alias("nmi"),
     )
-    return out.drop("group") if group is None else out
+
+
+def agreement_by_grain(df: DataFrame, label: Column | str, cluster: Column | str, group: Column | str) -> DataFrame:
+    """(grain, group, ari, nmi, samples, unique_labels) of the whole table and of every group.
+
+    Both grains come from one scan: the contingency cells are counted once by group, and
+    grouping sets over the cells add them up for the whole table, whose group is null.
+    """
+    cells = df.groupBy(
+        label_or_none(group).alias("group"), label_or_none(label).alias("label"), label_or_none(cluster).alias("cluster")
+    ).agg(F.count("*").alias("n"))
+    name, l, c = F.col("group"), F.col("label"), F.col("cluster")
+    both = cells.groupingSets([[name, l, c], [l, c]], name, l, c).agg(F.sum("n").alias("n"), F.grouping("group").alias("whole"))
+    # Cells of both grains, with a name that no group has for the whole table.
+    named = both.select(F.when(F.col("whole") == 1, F.lit("*")).otherwise(F.concat(F.lit("="), "group")).alias("grain"), "label", "cluster", "n")
+    found = agreement_of_cells(named.withColumnRenamed("grain", "group"))
+    sizes = named.groupBy("grain").agg(F.sum("n").alias("samples"), F.count_distinct("label").alias("unique_labels"))
+    return found.withColumnRenamed("group", "grain").join(sizes, "grain").select(
+        F.when(F.col("grain") == "*", "overall").otherwise("group").alias("grain"),
+        F.when(F.col("grain") != "*", F.expr("substring(grain, 2)")).alias("group"), "ari", "nmi", "samples", "unique_labels",
+    )
 
 
 def ari(df: DataFrame, label: Column | str, cluster: Column | str) -> DataFrame:
@@ -228,51 +256,152 @@ def nmi(df: DataFrame, label: Column | str, cluster: Column | str) -> DataFrame:
     return cluster_agreement(df, label, cluster).select("nmi")
 
 
+def _seeds(prepared: DataFrame, sizes: DataFrame, n_init: int, seed: int) -> DataFrame:
+    """(group, restart, centres): first centres of every restart, chosen far apart in a sample of each group.
+
+    A group's sample has some twelve rows for each centre, by hashes of their ids.
+    """
+    chance = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    # One row per group.
+    sample = prepared.join(F.broadcast(sizes), "group").where(chance * F.col("rows") <= 12 * F.col("labels") + 384)
+
+    def choose(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        points, k = as_matrix(table.column("v"), table.num_rows)[order], table.column("labels")[0].as_py()
+        found = []
+        for restart in range(n_init):
+            rng = np.random.default_rng([seed, restart])
+            chosen = [int(rng.integers(len(points)))]
+            gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+            while len(chosen) < k:
+                # The best of a few draws by squared distance to the nearest centre.
+                total = gap.sum()
+                draws = rng.choice(len(points), 2 + int(np.log(k)), p=gap / total if total > 0 else None)
+                gaps = np.minimum(gap[None, :], ((points[None, :, :] - points[draws][:, None, :]) ** 2).sum(axis=2))
+                best = int(gaps.sum(axis=1).argmin())
+                chosen.append(int(draws[best]))
+                gap = gaps[best]
+            found.append(points[chosen].ravel().tolist())
+        group = [table.column("group")[0].as_py()] * n_init
+        return pa.table({
+            "group": pa.array(group, pa.string()), "restart": pa.array(range(n_init), pa.int32()),
+            "centres": pa.array(found, pa.list_(pa.float64())),
+        })
+
+    return sample.groupBy("group").applyInArrow(choose, "group string, restart int, centres array<double>")
+
+
+def _moved(prepared: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """(group, restart, cluster, n, cost, s): rows, squared distances and sums by nearest centre, all groups and restarts in one pass."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {g: np.zeros((c.shape[0], c.shape[1], c.shape[2] + 2)) for g, c in centres.items()}
+        for batch in batches:
+            names = batch.column("group").to_numpy(zero_copy_only=False)
+            points = as_matrix(pa.chunked_array([batch.column("v")]), batch.num_rows)
+            for g in set(names) & set(centres):
+                x, c = points[names == g], centres[g]
+                # Columns: the vector, its count, its squared distance.
+                wide = np.concatenate([x, np.ones((len(x), 1)), (x * x).sum(axis=1)[:, None]], axis=1)
+                for restart in range(len(c)):
+                    distance = (c[restart] ** 2).sum(axis=1)[None, :] - 2 * x @ c[restart].T
+                    nearest = distance.argmin(axis=1)
+                    wide[:, -1] = (x * x).sum(axis=1) + distance[np.arange(len(x)), nearest]
+                    np.add.at(sums[g][restart], nearest, wide)
+        for g, total in sums.items():
+            restart, cluster = np.nonzero(total[:, :, -2])
+            found = total[restart, cluster]
+            yield pa.RecordBatch.from_pydict({
+                "group": pa.array([g] * len(found), pa.string()), "restart": restart.astype(np.int32), "cluster": cluster.astype(np.int32),
+                "n": found[:, -2], "cost": found[:, -1], "s": pa.array(list(found[:, :-2]), pa.list_(pa.float64())),
+            })
+
+    schema = "group string, restart int, cluster int, n double, cost double, s array<double>"
+    parts = prepared.select("group", "v").mapInArrow(assign, schema)
+    return parts.groupBy("group", "restart", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")
+    )
+
+
+def _lloyd(prepared: DataFrame, centres: dict[str, np.ndarray], turns: int) -> dict[str, tuple[float, np.ndarray]]:
+    """Cost and centres of the best restart of every group; all of them move in one pass a turn."""
+    costs: dict[str, np.ndarray] = {}
+    for turn in range(turns + 1):
+        fresh = {g: c.copy() for g, c in centres.items()}
+        costs = {g: np.zeros(len(c)) for g, c in centres.items()}
+        for r in _moved(prepared, centres).toLocalIterator():
+            fresh[r.group][r.restart, r.cluster] = np.array(r.s) / r.n
+            costs[r.group][r.restart] += r.cost
+        moved = max(float(np.abs(fresh[g] - c).max()) for g, c in centres.items())
+        # The last turn only tells the costs of the centres that are kept.
+        if turn == turns or moved <= TOLERANCE:
+            break
+        centres = fresh
+    return {g: (float(costs[g].min()), centres[g][int(costs[g].argmin())]) for g in centres}
+
+
 def kmeans_clusters(
     df: DataFrame, label: Column | str, group: Column | str | None = None,
-    n_init: int = RESTARTS, seed: int = SEED, components: int | None = None, parallel: int = 8,
+    n_init: int = RESTARTS, seed: int = SEED, components: int | None = None, turns: int = TURNS,
 ) -> DataFrame:
-    """(id, label, group, cluster): k-means on unit vectors, k = labels (of the group).
-
-    Of ``n_init`` seeds the one with the lowest cost stays. ``components`` reduces
-    the vectors by PCA first. Groups without two labels, or with fewer rows than
-    three, have no clusters.
+    """(id, label, group, cluster, cost): k-means on unit vectors, k = labels (of the group).
+
+    Of ``n_init`` restarts the one with the lowest ``cost`` stays, which is the sum of
+    squared distances of the group's rows to their centres. All groups and restarts move in
+    one pass over the vectors a turn, with sums taken before the shuffle; as many centres as
+    ``CENTRE_VALUES`` numbers travel with the tasks at a time, further restarts and groups
+    follow in passes of their own. ``components`` reduces the vectors by PCA first. Groups
+    without two labels, or with fewer rows than three, have no clusters.
     """
     prepared = df.where(F.col("v").isNotNull()).select(
         "id", label_or_none(label).alias("label"),
-        (F.lit("") if group is None else label_or_none(group)).alias("group"),
-        array_to_vector(l2_normalize("v")).alias("features"),
+        (F.lit("") if group is None else label_or_none(group)).alias("group"), l2_normalize("v").alias("v"),
     )
-    # Every fit reads this copy again; it survives lost executors.
-    prepared = materialize(spread(prepared.withColumn("features", vector_to_array("features"))), "kmeans")
-    prepared = prepared.withColumn("features", array_to_vector("features"))
+    # Every turn reads this copy again; it survives lost executors.
+    prepared = materialize(spread(prepared), "kmeans")
     if components:
-        model = PCA(k=components, inputCol="features", outputCol="reduced").fit(prepared)
-        prepared = model.transform(prepared).drop("features").withColumnRenamed("reduced", "features")
-    # One row per group (a market or the whole table).
-    sizes = prepared.groupBy("group").agg(
-        F.count("*").alias("rows"), F.count_distinct("label").alias("labels")
-    ).where((F.col("rows") >= 3) & (F.col("labels") >= 2)).collect()
-    parts = {s["group"]: prepared.where(F.col("group") == s["group"]) for s in sizes}
-    ks = {s["group"]: s["labels"] for s in sizes}
-
-    def fit(job: tuple[str, int]):
-        name, offset = job
-        model = KMeans(k=ks[name], seed=seed + offset, featuresCol="features", predictionCol="cluster").fit(parts[name])
-        return name, model.summary.trainingCost, offset, model
-
-    best: dict = {}
-    with ThreadPool(parallel) as pool:
-        for name, cost, offset, model in pool.imap(fit, [(g, i) for g in parts for i in range(n_init)]):
-            if name not in best or (cost, offset) < best[name][:2]:
-                best[name] = (cost, offset, model)
-    out = None
-    for name, (_, _, model) in sorted(best.items()):
-        assigned = model.transform(parts[name]).select("id", "label", "group", "cluster")
-        out = assigned if out is None else out.unionByName(assigned)
-    if out is None:
-        out = prepared.select("id", "label", "group", F.lit(0).alias("cluster")).where(F.lit(False))
-    return out
+        model = PCA(k=components, inputCol="features", outputCol="reduced").fit(prepared.select(array_to_vector("v").alias("features")))
+        reduced = model.transform(prepared.withColumn("features", array_to_vector("v")))
+        prepared = materialize(reduced.select("id", "label", "group", vector_to_array("reduced").alias("v")), "reduced")
+    sizes = prepared.groupBy("group").agg(F.count("*").alias("rows"), F.count_distinct("label").alias("labels")).where(
+        (F.col("rows") >= 3) & (F.col("labels") >= 2)
+    )
+    # One row per group (a market or the whole table) and restart.
+    starts = materialize(_seeds(prepared, sizes, n_init, seed), "centres")
+    ks = {r.group: r.labels for r in sizes.toLocalIterator()}
+    best: dict[str, tuple[float, np.ndarray]] = {}
+
+    def finished(waiting: dict[str, list[np.ndarray]]) -> None:
+        if waiting:
+            for g, found in _lloyd(prepared, {g: np.array(c) for g, c in waiting.items()}, turns).items():
+                best[g] = min(best.get(g, found), found, key=lambda f: f[0])
+
+    waiting: dict[str, list[np.ndarray]] = {}
+    held = 0
+    for r in starts.orderBy("group", "restart").toLocalIterator():
+        if held and held + len(r.centres) > CENTRE_VALUES:
+            finished(waiting)
+            waiting, held = {}, 0
+        waiting.setdefault(r.group, []).append(np.array(r.centres).reshape(ks[r.group], -1))
+        held += len(r.centres)
+    finished(waiting)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("group").to_numpy(zero_copy_only=False)
+            points = as_matrix(pa.chunked_array([batch.column("v")]), batch.num_rows)
+            cluster, cost = np.zeros(len(names), np.int32), np.zeros(len(names))
+            for g in set(names) & set(best):
+                at = np.flatnonzero(names == g)
+                c = best[g][1]
+                cluster[at] = ((c ** 2).sum(axis=1)[None, :] - 2 * points[at] @ c.T).argmin(axis=1)
+                cost[at] = best[g][0]
+            own = [batch.column(n) for n in ("id", "label", "group")]
+            out = pa.RecordBatch.from_arrays([*own, pa.array(cluster), pa.array(cost)], ["id", "label", "group", "cluster", "cost"])
+            yield out.filter(pa.array(np.isin(names, list(best))))
+
+    kind = prepared.schema["id"].dataType.simpleString()
+    return prepared.mapInArrow(assign, f"id {kind}, label string, group string, cluster int, cost double")
 
 
 def by_group(

@@ -33,6 +33,15 @@ from vitrina.session import parallelism, spread
 BLOCK_ROWS = 2048
 BOUND_ROWS = 4096
 MIN_BLOCK_ROWS = 256
+# Blocks of a whole table against itself; their tiles are worked through in strips of ``BLOCK_ROWS``.
+WIDE_ROWS = 8192
+# Bounded products: vectors the axes are learnt from, share of the axes that is multiplied
+# first, rows that are tried, share of the pairs above which bounds do not pay.
+AXES_ROWS = 4096
+PREFIX = 0.25
+PROBED_ROWS = 64
+MOST_SCORED = 0.1
+SCORED_AT_ONCE = 1 << 16
 DECIMALS = 10
 NEIGHBOURS = "id long, neighbour_id long, same boolean, similarity double, pool string"
 
@@ -119,10 +128,10 @@ def _partitions(tiles: int, spark) -> int:
     return max(cores, min(3 * tiles, max(8 * cores, tiles)))
 
 
-def blocks_for(rows: int, cores: int) -> int:
+def blocks_for(rows: int, cores: int, block_rows: int = BLOCK_ROWS) -> int:
     """Blocks for ``rows`` rows: full blocks at scale, enough tiles for every core below."""
     for_cores = min(math.ceil(math.sqrt(2 * cores)), max(rows // MIN_BLOCK_ROWS, 1))
-    return max(math.ceil(rows / BLOCK_ROWS), for_cores, 1)
+    return max(math.ceil(rows / block_rows), for_cores, 1)
 
 
 def _with_pool(df: DataFrame, pool: Column | None) -> DataFrame:
@@ -133,7 +142,9 @@ def _hash_block(blocks: Column | int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(blocks) if isinstance(blocks, int) else blocks).cast("int")
 
 
-def within(df: DataFrame, kernel: Kernel, schema: str, pool: Column | None = None) -> DataFrame:
+def within(
+    df: DataFrame, kernel: Kernel, schema: str, pool: Column | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Every row against the rows of its pool, the row itself included.
 
     ``df`` has ``id``, ``v`` and whatever the kernel reads. For blocks a and b of
@@ -146,7 +157,7 @@ def within(df: DataFrame, kernel: Kernel, schema: str, pool: Column | None = Non
     counts = rows.groupBy("pool").agg(F.count("*").alias("__n"))
     if pool is None:
         n = rows.count()
-        g = blocks_for(n, cores)
+        g = blocks_for(n, cores, block_rows)
         tiles = g * (g + 1) // 2
         keyed = rows.withColumn("__g", F.lit(g)).withColumn("__tile_key", F.lit(0).cast("long"))
     else:
@@ -308,6 +319,100 @@ def knn_join(df: DataFrame, k: int, pool: Column | None = None, label: Column |
     return ranked.drop("pool") if pool is None else ranked
 
 
+def principal_axes(rows: DataFrame) -> np.ndarray:
+    """Orthogonal axes, those along which unit vectors spread most first, as columns.
+
+    Learnt from ``AXES_ROWS`` vectors at most (smallest hashes of their ids): any axes give
+    the same neighbours, better ones only sooner.
+    """
+    sample = rows.select("id", "v").where(F.col("v").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(AXES_ROWS).toArrow()
+    units = make_block(sample).units
+    return np.linalg.eigh(units.T @ units)[1][:, ::-1] if units.size else np.zeros((0, 0))
+
+
+def bounded_top_k(units: np.ndarray, others: Block, own: np.ndarray | None, k: int, axes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, column, similarity) of the ``k`` best others of every row, ties by smaller id.
+
+    The first ``PREFIX`` of the axes give a part of the product, and the lengths of what is
+    left bound the rest (Cauchy-Schwarz): a pair whose upper bound lies below the k-th best
+    lower bound of its row is not scored. Where a few rows show that most pairs would have to
+    be scored all the same, the product is taken whole. ``own`` are the rows' own ids.
+    """
+    def whole(rows: np.ndarray) -> np.ndarray:
+        scores = np.round(units[rows] @ others.units.T, DECIMALS)
+        if own is not None:
+            scores[own[rows][:, None] == others.ids[None, :]] = -np.inf
+        return scores
+
+    n, m = len(units), len(others.ids)
+    prefix = int(axes.shape[0] * PREFIX)
+    every = np.arange(n)
+    if not prefix or m <= 4 * k:
+        scores = whole(every)
+        r, c = top_k_rows(scores, others.ids, k)
+        return r, c, scores[r, c]
+    left, right = units @ axes, others.units @ axes
+    rest = np.linalg.norm(right[:, prefix:], axis=1)
+
+    def open_pairs(rows: np.ndarray) -> np.ndarray:
+        part = left[rows, :prefix] @ right[:, :prefix].T
+        slack = np.linalg.norm(left[rows, prefix:], axis=1)[:, None] * rest[None, :]
+        # One more than k, as the row itself may be among them.
+        low = np.partition(part - slack, m - k - 1, axis=1)[:, m - k - 1]
+        return part + slack >= low[:, None] - 10.0 ** -DECIMALS
+
+    if open_pairs(every[:: max(n // PROBED_ROWS, 1)]).mean() > MOST_SCORED:
+        scores = whole(every)
+        r, c = top_k_rows(scores, others.ids, k)
+        return r, c, scores[r, c]
+    r, c = np.nonzero(open_pairs(every))
+    if own is not None:
+        r, c = r[own[r] != others.ids[c]], c[own[r] != others.ids[c]]
+    score = np.concatenate([
+        np.einsum("ij,ij->i", units[r[i:i + SCORED_AT_ONCE]], others.units[c[i:i + SCORED_AT_ONCE]])
+        for i in range(0, max(len(r), 1), SCORED_AT_ONCE)
+    ]).round(DECIMALS)
+    return _first_k(r, c, score, others.ids, k)
+
+
+def _first_k(r: np.ndarray, c: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[first], c[first], score[first]
+
+
+def bounded_knn(df: DataFrame, k: int, label: Column | None = None) -> DataFrame:
+    """Exact ``k`` nearest other rows of a whole table; columns as ``knn_join``.
+
+    Each pair of blocks of ``WIDE_ROWS`` rows meets once and serves both sides, so a row is
+    copied rows / ``WIDE_ROWS`` times. A tile is worked through in strips, which bounds its
+    memory, and inside a strip bounds of the products leave out pairs.
+    """
+    rows = df.withColumn("label", F.lit("") if label is None else label).select("id", "v", "label")
+    axes = principal_axes(rows)
+
+    def one_side(a: Block, b: Block, alone: bool) -> pa.Table:
+        parts = []
+        for start in range(0, len(a.ids), BLOCK_ROWS):
+            own = a.ids[start:start + BLOCK_ROWS]
+            r, c, score = bounded_top_k(a.units[start:start + BLOCK_ROWS], b, own if alone else None, k, axes)
+            parts.append((r + start, c, score))
+        r, c, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        labels_a, labels_b = a.column("label"), b.column("label")
+        return pa.table({
+            "id": a.ids[r], "neighbour_id": b.ids[c], "same": (labels_a[r] == labels_b[c]).astype(bool), "similarity": score.astype(float),
+            "pool": a.table.column("pool").take(pa.array(r)),
+        })
+
+    def kernel(a: Block, b: Block) -> pa.Table:
+        if a is b:
+            return one_side(a, a, True)
+        return pa.concat_tables([one_side(a, b, False), one_side(b, a, False)])
+
+    return rank_neighbours(within(rows, kernel, NEIGHBOURS, block_rows=WIDE_ROWS), k).drop("pool")
+
+
 def pairwise_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per left row: how its similarities to all right rows are distributed.
 

@@ -24,7 +24,7 @@ TEXT_COLUMNS = ["text_emb_e5", "text_emb_gte", "text_emb_je3"]
 PAIRED_TEXT = ["text_emb_clip_multi", "clip_text_emb"]
 PAIRED_IMAGE = ["image_emb_clip", "clip_image_emb"]
 COMBINED_TEXT = ["clip_text_emb", "text_emb_clip_multi", "text_emb_gte", "text_emb_e5", "text_emb_je3"]
-COMBINED_IMAGE = ["clip_image_emb", "image_emb_clip"]
+COMBINED_IMAGE = ["image_emb_clip", "clip_image_emb"]
 METRIC_FAMILIES = ("pairs", "retrieval", "labels", "clusters")
 
 

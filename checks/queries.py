@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vitrina.functions import text as tx
 from vitrina.functions import vectors as vx
 from vitrina.functions.encoders import HashingEncoder
-from vitrina.operators import ann, backfill, fusion, ingest, labels, lexical, near, ordering, pairs, similarity
+from vitrina.operators import ann, backfill, codes, fusion, ingest, labels, lexical, near, ordering, pairs, similarity
 from vitrina.plans import search
 from vitrina.plans.catalog import (
     AUTO_STORE_PREFIX, BUCKET, MARKETS, catalog, query_table, second_vector, table, vectors,
@@ -378,6 +378,26 @@ def ann_recall(spark, sf_dir):
     return ann.recall_against(found, exact).select("n", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@register
+def ann_codes(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = codes.build_codes(rows, scratch_dir(spark, "codes"))
+    found = index.search(rows.withColumnRenamed("id", "query_id"), K, exclude_self=True)
+    return rounded(found.select("query_id", "id", "rank", "score"))
+
+
+@register
+def ann_codes_recall(spark, sf_dir):
+    """Recall of the default settings, as a number: stored vectors and query texts."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = codes.build_codes(rows, scratch_dir(spark, "codes"))
+    texts = search.encode_queries(query_table(spark, sf_dir), ENCODER)
+    stored = index.recall(rows.withColumnRenamed("id", "query_id"), K, exclude_self=True)
+    return rounded(
+        stored.withColumn("asked", F.lit("vectors")).unionByName(index.recall(texts, K).withColumn("asked", F.lit("texts")))
+    )
+
+
 @register
 def knn_join_pruned(spark, sf_dir):
     out = ann.exact_knn(vectors(spark, sf_dir).select("id", "v"), K, n_cells=16)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.encoders import Encoder, HashingEncoder
 from vitrina.operators.ann import build_cells, read_cells
+from vitrina.operators.codes import build_codes, read_codes
 from vitrina.operators.near import SIMILARITY, WORDS, similar_groups
 from vitrina.operators.backfill import embed_backfill, encode_images, merge_embeddings, reset_column
 from vitrina.operators.fusion import TOP_K, answer_summary, trace
@@ -63,7 +64,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--images", help="folder of the objects that image paths name")
     p.add_argument("--bucket", help="bucket of paths that name none")
 
-    p = commands.add_parser("index", help="cells for approximate vector search")
+    p = commands.add_parser("index", help="codes or cells for approximate vector search")
+    p.add_argument("--kind", choices=["codes", "cells"], default="codes")
     p.add_argument("--products", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--column", required=True)
@@ -84,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--encoder", help="module:object")
     p.add_argument("--k", type=int, default=TOP_K)
     p.add_argument("--index", help="a stored index of the column")
+    p.add_argument("--index-kind", choices=["codes", "cells"], default="codes")
     p.add_argument("--n-probe", type=int, help="cells to search; by default nine tenths of the neighbours are found")
     p.add_argument("--lexical-limit", type=int, default=LEXICAL_LIMIT)
     p.add_argument("--fusion", choices=["rrf", "blend"], default="rrf")
@@ -146,7 +149,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         return args.output
     if args.command == "index":
         rows = parquet_source(spark, args.products).select("id", F.col(args.column).alias("v"))
-        build_cells(rows, args.cells).write(args.output)
+        if args.kind == "cells":
+            build_cells(rows, args.cells).write(args.output)
+        else:
+            build_codes(rows, args.output)
         return args.output
     if args.command == "duplicates":
         products = parquet_source(spark, args.products)
@@ -154,9 +160,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         return args.output
     if args.command == "search":
         products, queries = parquet_source(spark, args.products), parquet_source(spark, args.queries)
+        reader = read_cells if args.index_kind == "cells" else read_codes
+        index = reader(spark, args.index) if args.index else None
         result = hybrid_search(
             queries, products, args.column, find_encoder(args.encoder), args.k, args.lexical_limit,
-            method=args.fusion, stored=True, index=read_cells(spark, args.index) if args.index else None, n_probe=args.n_probe,
+            method=args.fusion, stored=True, index=index, n_probe=args.n_probe,
         )
         fields = {"name": "product_name", "text": "product_description", "image_url": "s3_url"}
         named = attach_fields(result.fused, products, fields, queries, args.k)

@@ -12,6 +12,7 @@ from vitrina.functions.text import has_content, normalize_text, strip
 from vitrina.functions.vectors import round_vector
 from vitrina.operators import fusion
 from vitrina.operators.ann import CellIndex, ann_knn
+from vitrina.operators.codes import CodeIndex
 from vitrina.operators.lexical import LEXICAL_LIMIT, lexical_search
 from vitrina.operators.similarity import BOUND_ROWS, vector_search
 from vitrina.session import materialize
@@ -55,11 +56,12 @@ def hybrid_search(
     queries: DataFrame, items: DataFrame, vector_col: str, encoder: Encoder | None = None,
     k: int = fusion.TOP_K, lex_limit: int = LEXICAL_LIMIT, text: Column | None = None,
     postings: DataFrame | None = None, method: str = "rrf", stem: bool = True, normalized: bool = False,
-    stored: bool = False, index: CellIndex | None = None, n_probe: int | None = None,
+    stored: bool = False, index: CellIndex | CodeIndex | None = None, n_probe: int | None = None,
 ) -> SearchResult:
     """Answer every row of ``queries`` (query_id, text and, without encoder, v).
 
-    With an ``index`` of the vector column only the ``n_probe`` cells nearest to a query
+    With a ``CodeIndex`` of the vector column codes are looked up and their survivors scored
+    exactly. With a ``CellIndex`` only the ``n_probe`` cells nearest to a query
     are searched, by default as many as find nine tenths of the neighbours of stored vectors
     (measured in one pass over them); probing all of them gives the exact list. ``stored`` writes the two ranked lists (queries x limit rows) before fusing, for
     callers that read more than the fused list.
@@ -68,6 +70,8 @@ def hybrid_search(
     vectors = encode_queries(asked, encoder, normalized) if encoder is not None else asked.select("query_id", "v")
     if index is None:
         vector = vector_search(vectors, items.select("id", F.col(vector_col).alias("v")), k)
+    elif isinstance(index, CodeIndex):
+        vector = index.search(vectors, k)
     else:
         vector = ann_knn(vectors, index, k, n_probe)
     lexical = lexical_search(

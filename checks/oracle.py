@@ -592,6 +592,7 @@ GROUP BY 1, 2"""
 
 # --- forms that must agree with others -------------------------------------------
 
+ORACLE["merge_embeddings_stored"] = ORACLE["merge_embeddings"]
 ORACLE["ann_knn_stored"] = ORACLE["ann_knn_all_cells"]
 ORACLE["hybrid_search_indexed"] = ORACLE["rrf_fusion"]
 ORACLE["ann_recall"] = f"SELECT count(*) AS n, true AS enough FROM ({ORACLE['ann_knn_all_cells']})"

@@ -19,7 +19,7 @@ from vitrina.plans.catalog import (
 from vitrina.plans.evaluation import long_form
 from vitrina.schema import conform_schema, pick_column, vector_checks
 from vitrina.session import scratch_dir, ship_package, spread
-from vitrina.sources import readers, writers
+from vitrina.sources import buckets, readers, writers
 from vitrina.streaming.ingest import arriving_files, ingest_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,6 +315,18 @@ def merge_embeddings(spark, sf_dir):
     return merged.select("id", r6(F.element_at("text_vector", 1).cast("double")).alias("first"))
 
 
+@register
+def merge_embeddings_stored(spark, sf_dir):
+    """The same merge into a stored table, of which only touched shards are rewritten."""
+    products = catalog(spark, sf_dir)
+    new = table(spark, sf_dir, "embeddings").where(F.col("label") < 5).select(
+        F.col("vec_id").alias("id"), F.reverse("embedding").alias("text_vector")
+    )
+    path = buckets.write_bucketed(products, scratch_dir(spark, "products"))
+    buckets.merge_stored(spark, path, new, "text_vector")
+    return buckets.bucketed(spark, path).select("id", r6(F.element_at("text_vector", 1).cast("double")).alias("first"))
+
+
 @register
 def align_pairs(spark, sf_dir):
     rows = catalog(spark, sf_dir).withColumn(

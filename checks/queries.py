@@ -322,7 +322,7 @@ def merge_embeddings_stored(spark, sf_dir):
     new = table(spark, sf_dir, "embeddings").where(F.col("label") < 5).select(
         F.col("vec_id").alias("id"), F.reverse("embedding").alias("text_vector")
     )
-    path = buckets.write_bucketed(products, scratch_dir(spark, "products"))
+    path = buckets.write_bucketed(products, scratch_dir(spark, "products"), shards=8, buckets=4)
     buckets.merge_stored(spark, path, new, "text_vector")
     return buckets.bucketed(spark, path).select("id", r6(F.element_at("text_vector", 1).cast("double")).alias("first"))
 

@@ -23,11 +23,17 @@ def test_normalize_text_edges(spark):
 
 
 def test_stop_words_are_the_published_list(spark):
-    from pyspark.ml.feature import StopWordsRemover
-
+    from checks.oracle import STOP_WORDS
     from vitrina.functions.spanish import spanish_stop_words
 
-    assert set(spanish_stop_words()) == set(StopWordsRemover.loadDefaultStopWords("spanish"))
+    assert spanish_stop_words() == set(STOP_WORDS)
+
+
+def test_stop_words_have_no_stem(spark):
+    from vitrina.functions.spanish import lexemes
+
+    rows = spark.createDataFrame([("Él no tuviéramos las mesas",)], "t string").select(lexemes(F.col("t")).alias("l"))
+    assert rows.first().l == [None, None, None, None, "mes"]
 
 
 def test_nfkc_shortcut_covers_stable_characters_only():

@@ -612,6 +612,10 @@ ORACLE["stream_ingest"] = f"""SELECT lang AS country_code, source AS city_code,
 FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''
 GROUP BY 1, 2"""
 
+ORACLE["stream_load"] = f"""SELECT row_number() OVER (ORDER BY doc_id) AS id, 's3://{BUCKET}/dataset/' || doc_id AS s3_url,
+  CAST(64 AS BIGINT) AS dimension, 'stream-0000000000' AS load_batch
+FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''"""
+
 # --- forms that must agree with others -------------------------------------------
 
 ORACLE["merge_embeddings_stored"] = ORACLE["merge_embeddings"]

@@ -20,7 +20,7 @@ from vitrina.plans.evaluation import long_form
 from vitrina.schema import conform_schema, pick_column, vector_checks
 from vitrina.session import scratch_dir, ship_package, spread
 from vitrina.sources import buckets, readers, writers
-from vitrina.streaming.ingest import arriving_files, ingest_available
+from vitrina.streaming.ingest import arriving_files, ingest_available, load_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -714,13 +714,32 @@ def similar_groups(spark, sf_dir):
     return near.similar_groups(catalog(spark, sf_dir), "product_description")
 
 
-@register
-def stream_ingest(spark, sf_dir):
+def arriving_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = arriving_files(spark, sf_dir, schema, "documents.parquet").select(
+    return arriving_files(spark, sf_dir, schema, "documents.parquet").select(
         F.col("lang").alias("country_code"), F.col("source").alias("city_code"), F.col("source").alias("store_name"),
         F.col("text").alias("product_description"), F.concat(F.lit("dataset/"), F.col("doc_id").cast("string")).alias("s3_path"),
+        "_metadata",
+    )
+
+
+@register
+def stream_load(spark, sf_dir):
+    """Documents that arrive as files become products with ids and vectors."""
+    folder = scratch_dir(spark, "stream")
+    query = load_available(
+        arriving_products(spark, sf_dir), f"{folder}/products", f"{folder}/state", BUCKET, "text_vector", ENCODER,
+        whitelist=MARKETS, auto_store_prefix=AUTO_STORE_PREFIX,
     )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/products").select(
+        "id", "s3_url", F.size("text_vector").cast("long").alias("dimension"), "load_batch",
+    )
+
+
+@register
+def stream_ingest(spark, sf_dir):
+    rows = arriving_products(spark, sf_dir)
     folder = scratch_dir(spark, "stream")
     query = ingest_available(
         rows, f"{folder}/out", f"{folder}/state", BUCKET, whitelist=MARKETS, auto_store_prefix=AUTO_STORE_PREFIX

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,22 +45,32 @@ def _first_id(existing: DataFrame | None, batch_id: str, rows: int) -> int:
     return others[0] + 1
 
 
-def load_products(
-    spark: SparkSession, source: str, target: str, batch_id: str, bucket: str, existing: DataFrame | None = None
+def load_rows(
+    raw: DataFrame, target: str, batch_id: str, bucket: str, existing: DataFrame | None = None,
+    fill: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
-    """Prepare a Parquet load, give the rows ids after those of the other batches and append.
+    """Prepare the rows of files, give them ids after those of the other batches and append.
 
-    Rows are numbered by file name and place in the file. ``existing`` is the products
-    table, by default what ``target`` holds already, if anything.
+    Rows are numbered by file name and place in the file. ``fill`` may add columns, such as
+    vectors, to the numbered rows. ``existing`` is the products table, by default what
+    ``target`` holds already, if anything.
     """
-    raw = parquet_source(spark, source).withColumns(
-        {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")}
-    )
-    ordered = number_in_file_order(raw, "__file", "__at", "__line")
+    spark = raw.sparkSession
+    placed = raw.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+    ordered = number_in_file_order(placed, "__file", "__at", "__line")
     numbered = materialize(prepare_load(ordered, bucket, keep=["__line"]), "load")
     if existing is None and path_exists(spark, target):
         existing = parquet_source(spark, target)
     start = _first_id(existing, batch_id, numbered.count())
     with_ids = dense_index(numbered, "__line", "id", start).drop("__line")
+    if fill:
+        with_ids = fill(with_ids)
     now = F.current_timestamp()
     return append_products(with_ids.withColumns({"created_at": now, "updated_at": now}), target, batch_id)
+
+
+def load_products(
+    spark: SparkSession, source: str, target: str, batch_id: str, bucket: str, existing: DataFrame | None = None
+) -> str:
+    """Load one Parquet file or folder as a batch of its own."""
+    return load_rows(parquet_source(spark, source), target, batch_id, bucket, existing)

@@ -612,6 +612,19 @@ ORACLE["stream_ingest"] = f"""SELECT lang AS country_code, source AS city_code,
 FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''
 GROUP BY 1, 2"""
 
+ORACLE["encode_image_files"] = """WITH pixels AS (
+  SELECT vec_id AS id, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings
+  JOIN documents ON doc_id = vec_id WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0),
+levels AS (SELECT id, 7 - i // 8 AS r, i % 8 AS c,
+  greatest(0, least(255, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INT))) AS p FROM pixels),
+cells AS (SELECT id, (r // 2) * 4 + c // 2 AS cell, sum(255 - p) AS red, sum(p) AS other FROM levels GROUP BY 1, 2),
+colours AS (
+  SELECT id, cell * 3 AS place, (2 * red + 4) // 8 AS v FROM cells
+  UNION ALL SELECT id, cell * 3 + k, (2 * other + 4) // 8 FROM cells, (VALUES (1), (2)) t(k)),
+units AS (SELECT id, place, v / 255.0 / sqrt(sum((v / 255.0) * (v / 255.0)) OVER (PARTITION BY id)) AS u FROM colours)
+SELECT id, CAST(place AS BIGINT) AS place,
+  round(CAST(CAST(round(CAST(CAST(u AS FLOAT) AS DOUBLE), 6) AS FLOAT) AS DOUBLE), 6) AS value FROM units"""
+
 ORACLE["stream_load"] = f"""SELECT row_number() OVER (ORDER BY doc_id) AS id, 's3://{BUCKET}/dataset/' || doc_id AS s3_url,
   CAST(64 AS BIGINT) AS dimension, 'stream-0000000000' AS load_batch
 FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_STORE_PREFIX}') AND {strip('text')} <> ''"""

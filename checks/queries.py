@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitrina.functions import text as tx
 from vitrina.functions import vectors as vx
 from vitrina.functions.encoders import HashingEncoder
+from vitrina.functions.images import PixelEncoder
 from vitrina.operators import ann, backfill, codes, fusion, ingest, labels, lexical, near, ordering, pairs, similarity
 from vitrina.plans import search
 from vitrina.plans.catalog import (
@@ -519,6 +520,43 @@ def encode_images(spark, sf_dir):
     return found.select("id", F.size("image_vector").cast("long").alias("dimension"))
 
 
+# Header of a bitmap of 8 by 8 pixels, three bytes each, bottom row first.
+BITMAP_8X8 = "424df60000000000000036000000280000000800000008000000010018000000000000000000000000000000000000000000" + "00000000"
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of bitmaps, one per vector: a component is a pixel. Every fifth object is no image."""
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(
+        F.lit(255), F.floor((x.cast("double") + 1) * 127.5).cast("int")
+    )))
+    byte = lambda n: F.lpad(F.hex(n.cast("long")), 2, "0")
+    body = F.array_join(F.transform(level, lambda p: F.concat(byte(p), byte(p), byte(255 - p))), "")
+    picture = F.when(F.col("vec_id") % 5 == 0, F.lit("BM no image")).otherwise(
+        F.unhex(F.concat(F.lit(BITMAP_8X8), body)).cast("string")
+    )
+    folder = scratch_dir(spark, "images")
+    table(spark, sf_dir, "embeddings").select("vec_id", picture.alias("value")).write.partitionBy("vec_id").text(folder)
+    return folder
+
+
+@register
+def encode_image_files(spark, sf_dir):
+    """Image vectors of pending rows, from files that are decoded and shrunk where they are read."""
+    folder = image_files(spark, sf_dir)
+    base = os.path.abspath(folder).strip("/")
+    rows = catalog(spark, sf_dir).withColumn("s3_url", F.concat(F.lit(f"s3://{base}/vec_id="), F.col("id"))).withColumn(
+        "image_vector", F.lit(None).cast("array<float>")
+    )
+    encoder = PixelEncoder(4)
+    objects = readers.decoded_images(spark, folder, encoder.side, "part-*").withColumn(
+        "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    )
+    found = backfill.encode_images(rows, "image_vector", encoder, objects, BUCKET)
+    return found.select("id", F.posexplode("image_vector").alias("place", "value")).select(
+        "id", F.col("place").cast("long").alias("place"), r6(F.col("value").cast("double")).alias("value")
+    )
+
+
 @register
 def rrf_fusion(spark, sf_dir):
     _, result = hybrid(spark, sf_dir)

@@ -22,7 +22,7 @@ from vitrina.operators.near import SIMILARITY, WORDS, similar_groups
 from vitrina.plans import evaluation
 from vitrina.plans.ingest import ingest_csv, load_products
 from vitrina.plans.search import attach_fields, hybrid_search
-from vitrina.sources.readers import image_source, parquet_source
+from vitrina.sources.readers import decoded_images, image_source, parquet_source
 from vitrina.sources.writers import metrics_sink, trace_sink
 
 
@@ -61,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--encoder", help="module:object")
     p.add_argument("--reset", action="store_true")
     p.add_argument("--mode", choices=["text", "image"], default="text")
-    p.add_argument("--images", help="folder of the objects that image paths name")
+    p.add_argument("--images", help="folder of the objects that image paths name; decoded for an encoder with a side")
     p.add_argument("--bucket", help="bucket of paths that name none")
 
     p = commands.add_parser("index", help="codes or cells for approximate vector search")
@@ -141,7 +141,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         encoder = find_encoder(args.encoder)
         if args.mode == "image":
             pending = reset_column(products, args.column) if args.reset else products
-            objects = image_source(spark, args.images)
+            side = getattr(encoder, "side", None)
+            objects = decoded_images(spark, args.images, side) if side else image_source(spark, args.images)
             filled = merge_embeddings(pending, encode_images(pending, args.column, encoder, objects, args.bucket), args.column)
         else:
             filled = embed_backfill(products, args.column, encoder, args.reset)

@@ -44,15 +44,19 @@ def encode_pending(df: DataFrame, column: str, encoder: Encoder, text: Column |
 def encode_images(df: DataFrame, column: str, encoder: Encoder, objects: DataFrame, bucket: str) -> DataFrame:
     """(id, column): vectors for rows that lack an image vector.
 
-    ``objects`` is (path, content). An object is encoded once, however many rows
-    point to it; content never meets the catalogue rows.
+    ``objects`` is (path, pixels) of ``decoded_images`` for an image encoder, or (path,
+    content), whose encoder gets the bytes as base64. An object is encoded once, however
+    many rows point to it; content never meets the catalogue rows. Rows whose object is
+    absent or has null pixels get no vector and stay pending.
     """
+    given = "pixels" if "pixels" in objects.columns else "content"
     where = object_location(bucket)
     rows = pending_rows(df, column, need_image=True).select(
         "id", F.concat_ws("/", where["bucket"], where["key"]).alias("path")
     )
-    used = objects.join(rows.select("path").distinct(), "path", "left_semi")
-    encoded = used.select("path", encode(F.base64("content"), encoder).alias("v"))
+    used = objects.where(F.col(given).isNotNull()).join(rows.select("path").distinct(), "path", "left_semi")
+    source = F.col("pixels") if given == "pixels" else F.base64("content")
+    encoded = used.select("path", encode(source, encoder).alias("v"))
     return rows.join(encoded, "path").select("id", round_vector("v").alias(column))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrina.functions.images import shrunk
 from vitrina.operators.ordering import number_in_file_order
 from vitrina.schema import LOAD_SCHEMA
 from vitrina.session import parallelism
@@ -59,6 +60,27 @@ def image_source(spark: SparkSession, path: str, pattern: str | None = None) ->
     return objects.withColumn("path", F.regexp_replace("path", r"^[A-Za-z0-9]+:/*", ""))
 
 
+def decoded_images(spark: SparkSession, path: str, side: int, pattern: str | None = None) -> DataFrame:
+    """(path, length, pixels) of the images of a folder, each shrunk to ``side`` by ``side`` pixels.
+
+    Spark's image source decodes (PNG, JPEG, GIF, BMP) and shrinks an image in the task that reads
+    it, so that full pictures are never shuffled. An object that is no image or is cut short has
+    null ``pixels``; Spark reads no empty file, so an empty object has no row. All objects of the folder that match ``pattern`` are decoded.
+    """
+    reader = (
+        spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True)
+        # Spark takes a picture that breaks off for a read error.
+        .option("ignoreCorruptFiles", True)
+    )
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    images = reader.load(path).select(
+        F.regexp_replace("image.origin", r"^[A-Za-z0-9]+:/*", "").alias("path"), shrunk("image", side).alias("pixels")
+    )
+    # A listing: content is not selected.
+    return image_source(spark, path, pattern).select("path", "length").join(images, "path", "left")
+
+
 def resolve_images(rows: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
     """Objects that pending rows point to, once each: (path, length, content, n_rows).
 

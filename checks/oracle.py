@@ -631,6 +631,7 @@ FROM documents WHERE lang IN ({MARKET_LIST}) AND NOT starts_with(source, '{AUTO_
 
 # --- forms that must agree with others -------------------------------------------
 
+ORACLE["bm25_impacts"] = ORACLE["bm25_search"]
 ORACLE["merge_embeddings_stored"] = ORACLE["merge_embeddings"]
 ORACLE["ann_knn_stored"] = ORACLE["ann_knn_all_cells"]
 ORACLE["hybrid_search_indexed"] = ORACLE["rrf_fusion"]

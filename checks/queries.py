@@ -12,7 +12,7 @@ from vitrina.functions import text as tx
 from vitrina.functions import vectors as vx
 from vitrina.functions.encoders import HashingEncoder
 from vitrina.functions.images import PixelEncoder
-from vitrina.operators import ann, backfill, codes, fusion, ingest, labels, lexical, near, ordering, pairs, similarity
+from vitrina.operators import ann, backfill, codes, fusion, impacts, ingest, labels, lexical, near, ordering, pairs, similarity
 from vitrina.plans import search
 from vitrina.plans.catalog import (
     AUTO_STORE_PREFIX, BUCKET, MARKETS, catalog, query_table, second_vector, table, vectors,
@@ -464,6 +464,13 @@ def bm25_search(spark, sf_dir):
     return rounded(lexical.bm25_search(query_table(spark, sf_dir), search_items(spark, sf_dir)))
 
 
+@register
+def bm25_impacts(spark, sf_dir):
+    """BM25 from stored postings with block maxima."""
+    index = impacts.build_impacts(search_items(spark, sf_dir), scratch_dir(spark, "impacts"))
+    return rounded(impacts.search_impacts(query_table(spark, sf_dir), index).found)
+
+
 @register
 def vector_search(spark, sf_dir):
     queries = search.encode_queries(query_table(spark, sf_dir), ENCODER)

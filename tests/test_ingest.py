@@ -151,3 +151,19 @@ def test_stream_loads_products_and_replays_a_batch(spark, tmp_path):
     assert third["f.png"].id == 6 and third["e.png"].created_at > second["e.png"].created_at
     assert third["a.png"].created_at == second["a.png"].created_at
     assert run() == third
+
+
+def test_stream_queries_take_a_table_of_several_files(spark, tmp_path):
+    """The documents are a folder of files, as every larger table is."""
+    import __spark_entry__ as contract
+
+    rows = [(i, f"text {i}", "es" if i < 5 else "de", "src2", 6) for i in range(8)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(3, "doc_id").write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    documents.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        loaded = contract.queries()["stream_load"](spark, str(tmp_path / kind)).collect()
+        assert sorted(r.id for r in loaded) == [1, 2, 3, 4, 5] and {r.dimension for r in loaded} == {64}
+        ingested = contract.queries()["stream_ingest"](spark, str(tmp_path / kind)).collect()
+        assert [(r.country_code, r.n_rows, r.n_chars) for r in ingested] == [("es", 5, 30)]

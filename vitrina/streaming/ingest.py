@@ -14,7 +14,7 @@ from vitrina.plans.ingest import load_rows
 
 
 def arriving_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """Parquet files of a folder as a stream; the path may be a pattern of folders and files, ``pattern`` is one of file names."""
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -92,6 +92,35 @@ def test_postings_answer_like_the_texts(spark):
     assert sorted(direct) == sorted(lexical.lexical_search(asked, postings=postings).select("query_id", "id", "rank").collect())
 
 
+def test_postings_are_gathered_once_for_all_queries(spark):
+    """A document's postings are one row, not one for each query that asks for a term of them."""
+    texts = ["pan de leche", "leche y pan integral pan", "agua", "pan pan pan leche leche"]
+    asked = queries(spark, *["leche pan"] * 40, "agua", "pan")
+    postings = lexical.build_postings(items(spark, texts), lexical.search_text())
+    found = lexical.match_all_terms(asked, postings=postings)
+    assert "query_id" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1].split("\n", 1)[1]
+    order = ["query_id", "id"]
+    assert found.orderBy(order).collect() == lexical.match_all_terms(asked, items(spark, texts)).orderBy(order).collect()
+    # Two rows of one id count for one document.
+    halves = spark.createDataFrame([(7, None, "pan"), (7, None, "leche"), (8, None, "pan")], items(spark, texts).schema)
+    both = lexical.match_all_terms(queries(spark, "leche pan"), postings=lexical.build_postings(halves, lexical.search_text()))
+    assert [r.id for r in both.collect()] == [7]
+
+
+def test_large_batches_are_worked_through_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "PIECE_BYTES", 100)
+    monkeypatch.setattr(lexical, "PIECE_ROWS", 7)
+    texts = [None if i % 9 == 0 else "x" * (i * 13 % 250) for i in range(60)]
+    batch = pa.record_batch({"id": list(range(60)), "text": pa.array(texts, pa.string())})
+    pieces = list(lexical._pieces(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(pieces).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert all(p.num_rows <= 7 for p in pieces)
+    # The last text of a piece may reach beyond its end.
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) <= 100 for p in pieces)
+
+
 def test_recorded_fusion_ties(spark):
     """Lexical 1 precedes vector 1 at the same score; the last vector row falls off."""
     lex = spark.createDataFrame([(0, 11983, 0.00833333, 1)], "query_id long, id long, lex_score double, rank int")

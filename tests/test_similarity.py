@@ -185,3 +185,35 @@ def test_bounded_neighbours_of_few_rows(spark):
     for n in (0, 1, 2):
         rows = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(n)], "id long, v array<double>")
         assert sim.bounded_knn(rows, 4).count() == n * (n - 1)
+
+
+def test_wide_tiles_copy_rows_less_and_hand_on_reduced_rows(spark, data, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(similarity.against, "__defaults__", (False, 4))
+    queries = frame(spark, data).withColumnRenamed("id", "query_id")
+    found = similarity.vector_search(queries, frame(spark, data), 3)
+    # 300 rows are 38 blocks of 8; a row goes to 4 tiles, enough for 8 cores.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, (__gr" in plan and "4 AS __gl" in plan and "4 AS __gr" in plan
+    # Strips and reduction in this process: partial rows are few at any time.
+    monkeypatch.setattr(similarity, "HELD_ROWS", 40)
+    table = pa.table({"id": list(range(len(data))), "v": [list(map(float, x)) for x in data]})
+    block, sizes = similarity.make_block(table), []
+
+    def part(a, b):
+        scores = similarity.similarities(a, b)
+        r, c = similarity.top_k_rows(scores, b.ids, 3)
+        sizes.append(len(a.ids))
+        return pa.table({"id": a.ids[r], "other": b.ids[c], "score": scores[r, c]})
+
+    best = similarity.best_rows("id", "other", "score", 3)
+    rows = similarity.reduced((part(a, b) for b in block.strips() for a in block.strips()), best).to_pylist()
+    assert max(sizes) == 8 and len(sizes) == 38 * 38 and len(rows) == 3 * len(data)
+    s = np.round(unit(data) @ unit(data).T, 10)
+    for i in (0, 7, 299):
+        expected = sorted(range(len(data)), key=lambda j: (-s[i, j], j))[:3]
+        assert [r["other"] for r in rows if r["id"] == i] == expected
+    total = similarity.summed_rows(n="sum", least="min")(pa.table({"id": [1, 2, 1], "n": [1, 2, 3], "least": [5, 6, 4]}))
+    assert sorted(map(tuple, (r.values() for r in total.to_pylist()))) == [(1, 4, 4), (2, 2, 6)]

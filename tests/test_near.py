@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -78,3 +79,21 @@ def test_command(spark, tmp_path):
     spark.createDataFrame(rows, "id long, product_description string").write.parquet(str(tmp_path / "products"))
     cli.main(["duplicates", "--products", str(tmp_path / "products"), "--output", str(tmp_path / "groups")], spark)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "groups")).select("group_id").distinct().collect()] == [(0,)]
+
+
+def test_only_first_members_and_words_leave_a_row(spark, monkeypatch):
+    """Neither all runs of a text nor a row for each of them is written or shuffled."""
+    kept, plain = {}, near.materialize
+
+    def noted(df, label):
+        kept[label] = plain(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(near, "materialize", noted)
+    texts = invented(3)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    found = near.similar_groups(rows, "body")
+    assert sorted(map(tuple, found.collect())) == plain_groups(texts, 0.75, 5)
+    assert all("shingles" not in df.columns for df in kept.values()) and "tokens" not in kept
+    sizes = [r.n for r in kept["distinct-sets"].collect()]
+    assert kept["first-members"].count() == sum(n - math.ceil(0.75 * n) + 1 for n in sizes) < sum(sizes) / 2

@@ -3,7 +3,8 @@
 A text's set are its runs of five normalised words. Two sets of n and m members with a
 Jaccard similarity of t or more have sizes that differ by at most the factor t, and share a
 member among the n - ceil(tn) + 1 and m - ceil(tm) + 1 members that come first in any one
-order of all members. The order here begins with the rarest, so that few sets meet.
+order of all members. The order here ends with the members that are common in a sample of the
+sets, so that few sets meet; only these first members are shuffled. Any sample gives all links.
 
 Sets that meet under a member are first compared with two members' hubs. Only sets that are
 not connected by then are compared with each other. No link is lost: what a filter leaves
@@ -13,7 +14,10 @@ out cannot reach t, and what the hubs have connected needs no further link.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,12 @@ HUBS = 2
 # A hub that holds one comparison in so many gets copies, one for each part of its comparisons.
 HOT_HUBS = 1 << 10
 COPIES = 32
+# Sets whose members are counted for the order, up to one in so many, and common members that travel with the tasks.
+COUNTED_SETS = 1 << 14
+COUNTED_SHARE = 1 << 6
+COMMON = 1 << 17
+# Sets that a task puts in order at once.
+ORDERED_ROWS = 1 << 10
 
 
 def shingles(split: Column | str, words: int = WORDS) -> Column:
@@ -38,38 +48,68 @@ def shingles(split: Column | str, words: int = WORDS) -> Column:
     return F.when(F.size(split) < words, short).otherwise(F.array_distinct(runs))
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(token, node, n): the members among a set's first ones, rarest first, that another set has too."""
-    tokens = sets.select("node", "n", F.explode("shingles").alias("shingle")).select("node", "n", F.xxhash64("shingle").alias("token"))
-    tokens = materialize(tokens, "tokens")
-    total = tokens.count()
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("copies", F.col("n"))
-    counted = looked_up(tokens.withColumnRenamed("n", "size"), counts, "token", total)
-    ordered = counted.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("copies", "token"))).alias("all"))
-    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    return ordered.select("node", F.col("size").alias("n"), F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where(
-        "t.copies > 1"
-    ).select("t.token", "node", "n")
+def _set_of(text: str, words: int) -> Column:
+    # Bound once: a run would split the text again.
+    return F.element_at(F.transform(F.array(F.split(text, " ")), lambda split: shingles(split, words)), 1)
+
+
+def _prefixes(sets: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(token, node, n): the members among a set's first ones, commonest last, that another set has among its own.
+
+    A set is put in order in its row; nothing but its first members leaves it.
+    """
+    tokens = sets.select("node", "n", F.transform(_set_of("words", words), lambda x: F.xxhash64(x)).alias("tokens"))
+    share = min(max(sets.count() // COUNTED_SETS, 1), COUNTED_SHARE)
+    counted = tokens.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("tokens").alias("token"))
+    # At most ``COMMON`` numbers come to the driver.
+    common = counted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    known = np.argsort(common.column("token").to_numpy())
+    names, weights = common.column("token").to_numpy()[known], common.column("n").to_numpy()[known]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ORDERED_ROWS):
+                part = batch.slice(start, ORDERED_ROWS)
+                held = part.column("tokens")
+                token, sizes = held.flatten().to_numpy(), held.value_lengths().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                weight = np.zeros(len(token), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, token), len(names) - 1)
+                    weight = np.where(names[at] == token, weights[at], 0)
+                order = np.lexsort((token, weight, row))
+                begin = np.cumsum(sizes) - sizes
+                most = sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1
+                kept = np.arange(len(token)) - begin[row] < most[row]
+                taken = pa.array(row[kept])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[order][kept]), part.column("node").take(taken), part.column("n").take(taken)], ["token", "node", "n"]
+                )
+
+    found = materialize(spread(tokens).mapInArrow(first, "token long, node string, n long").withColumnRenamed("n", "size"), "first-members")
+    shared = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return looked_up(found, shared, "token", found.count()).select("token", "node", F.col("size").alias("n"))
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; any share of the pairs may have one b."""
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar; texts travel, sets are made of them again. Any share of the pairs may have one b."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     total = pairs.count()
     hot = F.broadcast(pairs.groupBy("b").count().where(F.col("count") * HOT_HUBS >= total).select("b", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(COPIES))).otherwise(0)
     salted = pairs.join(hot, "b", "left").select("a", "b", salt.cast("int").alias("salt"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("other")).join(hot, "b", "left")
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("words").alias("other")).join(hot, "b", "left")
     last = F.when(F.col("hot"), COPIES - 1).otherwise(0)
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("hot")
-    left = sets.select(F.col("node").alias("a"), "n", "shingles")
-    common = F.size(F.array_intersect("shingles", "other"))
-    both = salted.join(right, ["b", "salt"]).join(left, "a").select("a", "b", "n", "m", common.alias("common"))
-    return both.where(F.col("common") >= (F.col("n") + F.col("m") - F.col("common")) * F.lit(similarity - 1e-9)).select("a", "b")
+    left = sets.select(F.col("node").alias("a"), "n", "words")
+    common = F.size(F.array_intersect(_set_of("words", words), _set_of("other", words)))
+    both = salted.join(right, ["b", "salt"]).join(left, "a")
+    enough = F.transform(F.array(common), lambda c: c >= (F.col("n") + F.col("m") - c) * F.lit(similarity - 1e-9))
+    return both.where(F.element_at(enough, 1)).select("a", "b")
 
 
 def similar_groups(
@@ -85,22 +125,23 @@ def similar_groups(
         raise ValueError("similarity must lie above 0 and up to 1")
     rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", normalize_text("text").alias("text"))
     rows = rows.select("id", F.filter(F.split("text", " "), lambda w: w != "").alias("split"))
-    rows = rows.select("id", shingles("split", words).alias("shingles"))
+    rows = rows.select("id", "split", shingles("split", words).alias("shingles"))
     rows = rows.withColumn("n", F.size("shingles").cast("long"))
     node = F.when(F.col("n") > 0, F.md5(F.array_join(F.sort_array("shingles"), "\n")))
-    rows = materialize(rows.withColumn("node", node), "sets")
-    sets = materialize(rows.where(F.col("n") > 0).dropDuplicates(["node"]).select("node", "n", "shingles"), "distinct-sets")
-    met = materialize(_prefixes(sets, similarity), "prefixes")
+    # The words, a fifth of their runs.
+    rows = materialize(rows.select("id", "n", node.alias("node"), F.array_join("split", " ").alias("words")), "sets")
+    sets = materialize(rows.where(F.col("n") > 0).dropDuplicates(["node"]).select("node", "n", "words"), "distinct-sets")
+    met = materialize(_prefixes(sets, similarity, words), "prefixes")
     total = met.count()
-    links = None
+    pairs = None
     for turn in range(HUBS):
         rank = F.xxhash64("node", F.lit(turn))
         hubs = met.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("r"), "node", "n")).alias("hub"))
-        pairs = looked_up(met.withColumnRenamed("n", "size"), hubs, "token", total).where(
+        found = looked_up(met.withColumnRenamed("n", "size"), hubs, "token", total).where(
             (F.col("node") != F.col("hub.node")) & _fits("size", "hub.n", similarity)
         ).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        found = _linked(pairs, sets, similarity)
-        links = found if links is None else links.unionByName(found)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    links = _linked(pairs, sets, similarity, words)
     links = materialize(links, "hub-links")
     reached = components(links)
     placed = met.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -112,7 +153,7 @@ def similar_groups(
     pairs = a.join(b, "token").where(
         (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _fits("size_a", "size_b", similarity)
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    reached = components(links.unionByName(_linked(pairs, sets, similarity)))
+    reached = components(links.unionByName(_linked(pairs, sets, similarity, words)))
     grouped = rows.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     known = looked_up(grouped.where(F.col("component").isNotNull()).select("id", F.col("n").alias("size"), "component"), least, "component", rows.count())

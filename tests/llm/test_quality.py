@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -43,3 +45,30 @@ def test_edges(spark, docs_of):
     assert quality.selected(docs.limit(0), model).count() == 0
     row, feature, value = quality.features(pa.array([None, "", "the the cat's 42!"]))
     assert set(row) == {2} and quality.DIMENSIONS in feature and (value > 0).all()
+
+
+def test_the_fit_multiplies_a_piece_at_a_time():
+    rng = np.random.default_rng(5)
+    n, rows = 6_000_000, 9_000
+    row = np.sort(rng.integers(0, rows, n).astype(np.int32))
+    feature, value = rng.integers(0, quality.DIMENSIONS, n).astype(np.int32), rng.random(n).astype(np.float32)
+    grade = rng.integers(0, 3, rows)
+    tracemalloc.start()
+    try:
+        model = quality.fit_ordinal(row, feature, value, grade, 3, steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Less than one wide number for each entry, beside vectors of one number for each feature.
+    assert peak < 8 * n
+    mixed = rng.permutation(n)
+    assert (quality.fit_ordinal(row[mixed], feature[mixed], value[mixed], grade, 3, steps=1).weights - model.weights < 1e-9).all()
+
+
+def test_portions_of_a_batch():
+    step = quality.STEP_CHARS
+    texts = pa.array(["a" * (step // 2), None, "b" * (step // 2), "c" * (3 * step), "", "d"])
+    cuts = list(quality.portions(texts))
+    assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(texts)
+    assert all(sum(len(t.as_py() or "") for t in texts[a:b]) <= step or b == a + 1 for a, b in cuts)
+    assert list(quality.portions(texts[:0])) == []

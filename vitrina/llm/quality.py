@@ -34,7 +34,10 @@ LEARNING_RATE = 0.05
 PENALTY = 1e-4
 # Weight of a share against that of a word.
 SHARE_SCALE = 4.0
-STEP_CHARS = 1 << 21
+# Bytes of text that a task turns into features at once; one longer text is a step of its own.
+STEP_CHARS = 1 << 20
+# Entries of the sample that the fit multiplies at once.
+PIECE = 1 << 18
 
 GRADING = T.StructType([
     T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType()),
@@ -45,6 +48,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where a batch of texts is cut for ``features``, whose memory is some twenty times its input.
+
+    What the last step left unused goes back to the system between steps, as a worker that is
+    done may stay and wait while others run beside it.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        done = int(sizes[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + STEP_CHARS)))
+        yield start, stop
+        pa.default_memory_pool().release_unused()
+        start = stop
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of all features of a batch of texts; a text without words has none."""
     words, ends = words_of(texts)
@@ -106,8 +125,17 @@ def fit_ordinal(
 ) -> OrdinalModel:
     """Weights and ordered thresholds by gradient steps on the penalised likelihood.
 
-    A grade that does not occur leaves its threshold beside its neighbour's.
+    A grade that does not occur leaves its threshold beside its neighbour's. Features, sorted by
+    row, are multiplied piece by piece, so that narrow arrays stay narrow: only the products of
+    one piece are wide. All of a row's features are in one piece, and what is added up for a
+    feature is added in the same order whatever the pieces.
     """
+    if np.any(row[1:] < row[:-1]):
+        order = np.argsort(row, kind="stable")
+        row, feature, value = row[order], feature[order], value[order]
+    ends = np.searchsorted(row, row[PIECE::PIECE], "right")
+    cuts = np.unique(np.concatenate([[0], ends, [len(row)]])).tolist()
+    pieces = [slice(*cut) for cut in zip(cuts[:-1], cuts[1:], strict=True)]
     n, cuts = max(len(grade), 1), grades - 1
     shares = (np.arange(1, grades) - 0.5 * cuts - 0.5) / max(cuts, 1)
     state = np.concatenate([np.zeros(DIMENSIONS + 1), shares])
@@ -116,14 +144,20 @@ def fit_ordinal(
     upper, lower = np.minimum(grade, cuts - 1), np.maximum(grade - 1, 0)
     for step in range(1, steps + 1):
         weights, thresholds = state[:-cuts], state[-cuts:]
-        score = np.bincount(row, weights[feature] * value, n)[:len(grade)]
+        score, slope = np.zeros(len(grade)), np.zeros(DIMENSIONS + 1)
+        for piece in pieces:
+            base = row[piece.start]
+            sums = np.bincount(row[piece] - base, weights[feature[piece]] * value[piece])
+            score[base:base + len(sums)] = sums
         below = np.where(has_upper, _sigmoid(thresholds[upper] - score), 1.0)
         under = np.where(has_lower, _sigmoid(thresholds[lower] - score), 0.0)
         likely = np.maximum(below - under, 1e-9)
         rise, fall = below * (1 - below) / likely, under * (1 - under) / likely
         by_score = rise - fall
+        for piece in pieces:
+            np.add.at(slope, feature[piece], value[piece] * by_score[row[piece]])
         gradient = np.concatenate([
-            np.bincount(feature, value * by_score[row], DIMENSIONS + 1) / n + penalty * weights,
+            slope / n + penalty * weights,
             (np.bincount(lower[has_lower], fall[has_lower], cuts) - np.bincount(upper[has_upper], rise[has_upper], cuts)) / n,
         ])
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
@@ -153,15 +187,17 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, feature, value = features(batch.column("text"))
-            order = np.argsort(row, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            lists = [
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[order]))
-                for x in (feature.astype(np.int32), value.astype(np.float32))
-            ]
-            own = [batch.column(c) for c in ("key", "grade", "h")]
-            yield pa.RecordBatch.from_arrays([*own, *lists], ["key", "grade", "h", "f", "v"])
+            for start, stop in portions(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                row, feature, value = features(part.column("text"))
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[order]))
+                    for x in (feature.astype(np.int32), value.astype(np.float32))
+                ]
+                own = [part.column(c) for c in ("key", "grade", "h")]
+                yield pa.RecordBatch.from_arrays([*own, *lists], ["key", "grade", "h", "f", "v"])
 
     kind = sample.schema["key"].dataType.simpleString()
     # One row per key, whatever the table repeats.
@@ -170,15 +206,17 @@ def fit(
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole sample, at most ``rows`` rows of numbers, in one task."""
-        parts = list(batches)
-        sizes, feature, value, grade = (
-            np.concatenate([np.zeros(0, kind), *[take(b).to_numpy(zero_copy_only=False) for b in parts]]).astype(kind)
-            for take, kind in (
-                (lambda b: b.column("f").value_lengths(), np.int64), (lambda b: b.column("f").flatten(), np.int64),
-                (lambda b: b.column("v").flatten(), np.float64), (lambda b: b.column("grade"), np.int64),
-            )
+        taken = (
+            (lambda b: b.column("f").value_lengths(), np.int32), (lambda b: b.column("f").flatten(), np.int32),
+            (lambda b: b.column("v").flatten(), np.float32), (lambda b: b.column("grade"), np.int64),
         )
-        model = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), feature, value, grade, grades)
+        # Copies, so that no batch stays in memory.
+        parts = [[np.zeros(0, kind) for _, kind in taken]]
+        parts += [[np.array(take(b).to_numpy(zero_copy_only=False), kind) for take, kind in taken] for b in batches]
+        columns = list(zip(*parts, strict=True))
+        del parts
+        sizes, feature, value, grade = (np.concatenate(columns.pop(0)) for _ in taken)
+        model = fit_ordinal(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), feature, value, grade, grades)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights], "thresholds": [model.thresholds]})
 
     trained = found.repartition(1).sortWithinPartitions("key").mapInArrow(train, "weights array<double>, thresholds array<double>")
@@ -195,14 +233,7 @@ def grading(model: OrdinalModel, text: Column) -> Column:
     @F.arrow_udf(GRADING)
     def grade(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = []
-            chars = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < len(batch):
-                done = int(chars[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(chars, done + STEP_CHARS)))
-                parts.append(model.above(model.score(batch.slice(start, stop - start))))
-                start = stop
+            parts = [model.above(model.score(batch.slice(start, stop - start))) for start, stop in portions(batch)]
             above = np.concatenate([np.zeros((0, len(model.thresholds))), *parts])
             yield pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(above[:, -1])], names=["expected_grade", "p_top"])
 

@@ -3,6 +3,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrina.sources import buckets
 
@@ -56,3 +57,19 @@ def test_reset(spark, stored):
     buckets.reset_stored(spark, stored, "e")
     buckets.merge_stored(spark, stored, spark.createDataFrame([], "id long, e array<double>"), "e")
     assert files(stored) == before
+
+
+def test_buckets_grow_with_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", 2_000)
+    rows = [(i, f"name {i}", None) for i in range(2_000)] + [(7, "again", None), (None, "no id", None)]
+    spark.createDataFrame(rows, "id long, product_name string, e array<double>").write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    path = buckets.write_bucketed(given, str(tmp_path / "products"), shards=2, buckets=4)
+    # What a task holds follows from its bucket, so more input means more buckets.
+    assert buckets._layout(spark, path).buckets > 4
+    per_bucket = spark.read.parquet(path).groupBy("shard", F.element_at(F.split(F.input_file_name(), "_"), -1)).count()
+    assert per_bucket.agg(F.max("count")).first()[0] < 2_000 // 8
+    buckets.merge_stored(spark, path, spark.createDataFrame([(7, [1.0]), (9, [2.0])], "id long, e array<double>"), "e")
+    found = sorted((r.id, r.product_name, tuple(r.e)) for r in buckets.bucketed(spark, path).where("e IS NOT NULL").collect())
+    assert found == [(7, "again", (1.0,)), (7, "name 7", (1.0,)), (9, "name 9", (2.0,))]
+    assert buckets.bucketed(spark, path).count() == len(rows)

@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 
@@ -9,6 +10,7 @@ from vitrina.cli import main
 from vitrina.functions.images import PixelEncoder, shrink
 from vitrina.operators.backfill import encode_images, merge_embeddings, pending_rows
 from vitrina.sources.readers import decoded_images
+from vitrina.sources.writers import object_sink
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -111,3 +113,34 @@ def test_backfill_command(spark, tmp_path):
 def test_folder_without_images(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert decoded_images(spark, str(tmp_path / "none"), 3).collect() == []
+
+
+def test_object_sink(spark, tmp_path):
+    rows = [("a/1.bin", b"one"), ("a/2.bin", b"two"), ("b/1.bin", None), ("a/1.bin", b"one more"), (None, b"lost")]
+    folder = object_sink(spark.createDataFrame(rows, "path string, content binary"), f"file://{tmp_path}/objects")
+    assert folder.endswith("/objects")
+    found = {str(p.relative_to(tmp_path / "objects")): p.read_bytes() for p in (tmp_path / "objects").rglob("*") if p.is_file()}
+    assert found == {"a/1.bin": b"one", "a/2.bin": b"two", "b/1.bin": b""}
+    assert object_sink(spark.createDataFrame(rows[:0], "path string, content binary"), f"{tmp_path}/nothing")
+
+
+def test_images_are_listed_once_and_share_tasks(spark, tmp_path):
+    pictures, broken = folder_of_images(tmp_path / "img")
+    base = str(tmp_path / "img").strip("/")
+    rows = decoded_images(spark, str(tmp_path / "img"), 3, undecoded=False)
+    found = {r.path.removeprefix(base + "/"): r for r in rows.collect()}
+    assert set(found) == set(pictures) and {"path", "length", "pixels"} == set(rows.columns)
+    for name, pixels in pictures.items():
+        assert found[name].pixels == plain_shrink(pixels, 3).tobytes() and found[name].length == (tmp_path / "img" / name).stat().st_size
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "Join" not in plan and "Coalesce" in plan
+
+
+def test_few_folders_for_the_images_of_a_table(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.001"
+    from checks.queries import image_files
+
+    folder = image_files(spark, sf_dir).removeprefix("file://")
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    assert {p.stem for p in Path(folder).rglob("*.bmp")} == {str(i) for i in ids}
+    assert {p.name for p in Path(folder).iterdir()} == {str(i // 1000) for i in ids}

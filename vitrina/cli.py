@@ -142,7 +142,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         if args.mode == "image":
             pending = reset_column(products, args.column) if args.reset else products
             side = getattr(encoder, "side", None)
-            objects = decoded_images(spark, args.images, side) if side else image_source(spark, args.images)
+            objects = decoded_images(spark, args.images, side, undecoded=False) if side else image_source(spark, args.images)
             filled = merge_embeddings(pending, encode_images(pending, args.column, encoder, objects, args.bucket), args.column)
         else:
             filled = embed_backfill(products, args.column, encoder, args.reset)

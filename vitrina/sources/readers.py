@@ -17,6 +17,9 @@ NULL_MARKERS = [
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# Tasks that share the images of a folder; they stream, so more images are no more memory.
+TASKS_PER_CORE = 16
+
 
 def csv_source(
     spark: SparkSession, path: str | list[str], schema: T.StructType = LOAD_SCHEMA, line_order: str | None = None
@@ -60,12 +63,15 @@ def image_source(spark: SparkSession, path: str, pattern: str | None = None) ->
     return objects.withColumn("path", F.regexp_replace("path", r"^[A-Za-z0-9]+:/*", ""))
 
 
-def decoded_images(spark: SparkSession, path: str, side: int, pattern: str | None = None) -> DataFrame:
+def decoded_images(
+    spark: SparkSession, path: str, side: int, pattern: str | None = None, undecoded: bool = True
+) -> DataFrame:
     """(path, length, pixels) of the images of a folder, each shrunk to ``side`` by ``side`` pixels.
 
     Spark's image source decodes (PNG, JPEG, GIF, BMP) and shrinks an image in the task that reads
     it, so that full pictures are never shuffled. An object that is no image or is cut short has
     null ``pixels``; Spark reads no empty file, so an empty object has no row. All objects of the folder that match ``pattern`` are decoded.
+    Without ``undecoded`` objects, those with pixels come from the one listing that decoding needs.
     """
     reader = (
         spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True)
@@ -74,11 +80,15 @@ def decoded_images(spark: SparkSession, path: str, side: int, pattern: str | Non
     )
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    images = reader.load(path).select(
-        F.regexp_replace("image.origin", r"^[A-Za-z0-9]+:/*", "").alias("path"), shrunk("image", side).alias("pixels")
+    # Spark reckons 4 MB for opening a file, which makes a task of a few small ones.
+    loaded = reader.load(path).select("image", F.col("_metadata.file_size").alias("length")).coalesce(TASKS_PER_CORE * parallelism(spark))
+    images = loaded.select(
+        F.regexp_replace("image.origin", r"^[A-Za-z0-9]+:/*", "").alias("path"), "length", shrunk("image", side).alias("pixels")
     )
+    if not undecoded:
+        return images
     # A listing: content is not selected.
-    return image_source(spark, path, pattern).select("path", "length").join(images, "path", "left")
+    return image_source(spark, path, pattern).select("path", "length").join(images.drop("length"), "path", "left")
 
 
 def resolve_images(rows: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:

@@ -2,10 +2,12 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vitrina import cli
+from vitrina.functions import text
 from vitrina.operators import near
 from vitrina.operators.graph import components
 
@@ -97,3 +99,34 @@ def test_only_first_members_and_words_leave_a_row(spark, monkeypatch):
     assert all("shingles" not in df.columns for df in kept.values()) and "tokens" not in kept
     sizes = [r.n for r in kept["distinct-sets"].collect()]
     assert kept["first-members"].count() == sum(n - math.ceil(0.75 * n) + 1 for n in sizes) < sum(sizes) / 2
+
+
+def test_sets_of_a_slice_equal_plain_ones():
+    texts = [*invented(4), "a", "a b", "b a", "a b c d", "a b c d e", "a a a a a a a", " a  b "]
+    held = near._Sets.of(pa.array(texts, pa.string()), 5)
+    plain = [n for _, n, _ in plain_groups(texts, 0.75, 5)]
+    assert held.sizes.tolist() == plain
+    ends, seen = held.ends, {}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        runs = frozenset(tuple(words[j:j + 5]) for j in range(max(len(words) - 5, 0) + 1)) if words else frozenset()
+        members = frozenset(zip(held.first[ends[i]:ends[i + 1]].tolist(), held.second[ends[i]:ends[i + 1]].tolist(), strict=True))
+        assert len(members) == len(runs) and seen.setdefault(members, runs) == runs
+
+
+def test_plain_texts_are_normalised_alike(spark):
+    odd = [None, "", " ", "Ab_c/d-e  f.g\t\nh", "ÀÉ ñ¿x? 12ª", "see https://a.b/c_d e www.x y", "ſ ﬁ Ⅷ İI ǅ", "a b\xa0c", "пан 日本 ①x", "a\x1cb\x85c", "x--y __ z/"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, t string").coalesce(1)
+    whole = [r.w for r in rows.select("id", text.normalize_text("t").alias("w")).orderBy("id").collect()]
+    half = rows.select("id", *text.half_normalized("t")).orderBy("id").toArrow()
+    assert text.normalized_rest(half.column("half"), half.column("plain")).to_pylist() == whole
+    assert 3 < sum(half.column("plain").to_pylist()) < len(odd)
+
+
+def test_sets_are_known_by_numbers(spark, monkeypatch):
+    """What is shuffled for each member is three numbers."""
+    kept, plain = {}, near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df, label: kept.setdefault(label, plain(df, label)))
+    rows = spark.createDataFrame(list(enumerate(["a b c d e f g h i j", "a b c d e f g h i j k", "x"])), "id long, body string")
+    assert near.similar_groups(rows, "body").select("group_id").distinct().count() == 2
+    assert {kind for label in ("first-members", "prefixes") for _, kind in kept[label].dtypes} == {"bigint"}

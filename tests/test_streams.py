@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from vitrina.operators import ann, similarity, streams
+from vitrina.operators import ann, codes, similarity, streams
 from vitrina.session import scratch_dir
 
 N, D, K = 5000, 12, 4
@@ -63,3 +63,25 @@ def test_probes_of_many_queries_are_not_copied(spark, rows, matrix, monkeypatch)
 
     found = ann.ann_knn(rows.withColumnRenamed("id", "query_id"), index, K, n_probe=3, exclude_self=True)
     assert listed(found) == exact(matrix, True, allowed)
+
+
+def test_codes_of_many_queries(spark, rows, matrix, monkeypatch):
+    """Codes stay codes until they reach a task, and no row is made for a query and a survivor."""
+    index = codes.build_codes(rows, scratch_dir(spark, "codes"))
+    asked = rows.withColumnRenamed("id", "query_id")
+    decoded = index.decoded().toArrow()
+    kept = 40
+    told = streams.unit_rows(streams.as_matrix(decoded.column("v"), decoded.num_rows)[np.argsort(decoded.column("id").to_numpy())])
+    units = streams.unit_rows(matrix.astype(float))
+    near = np.round(units @ told.T, 10)
+    monkeypatch.setattr(codes, "vector_search", None)
+    monkeypatch.setattr(codes, "cosine", None)
+    found = index.search(asked, K, kept=kept, exclude_self=True)
+    expected = []
+    for q in range(N):
+        best = np.lexsort((np.arange(N), -near[q]))[:kept]
+        best = best[best != q]
+        scores = np.round(units[best] @ units[q], 10)
+        expected += [(q, r + 1, int(best[j])) for r, j in enumerate(np.lexsort((best, -scores))[:K])]
+    assert listed(found) == expected
+    assert index.survivors(asked, 2, kept=kept).count() == N * kept

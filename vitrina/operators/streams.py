@@ -25,6 +25,8 @@ QUERY_ROWS = 1 << 15
 LEAST_ROWS = 1 << 11
 STRIP_ROWS = 1 << 9
 CHUNK_ROWS = 1 << 14
+# Pairs of lists that are scored before the best are kept.
+PAIRS = 1 << 18
 # Lists that are handed on at once.
 LISTS = 1 << 10
 LISTED = "query_id long, id array<long>, score array<double>"
@@ -73,21 +75,30 @@ class Best:
             # At least k items reach this one.
             least = np.maximum(least, np.partition(part, m - k, axis=1)[:, m - k] - 2 * self.slack)
         r, c = np.nonzero((part >= least[:, None].astype(np.float32) - np.float32(1e-6)) & (part > -np.inf))
-        if not len(r):
+        self.score(rows[r], c, ids, units)
+
+    def score(self, rows: np.ndarray, c: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        """Pairs of a query and an item by their exact scores."""
+        if self.exclude_self:
+            other = self.ids[rows] != ids[c]
+            rows, c = rows[other], c[other]
+        if not len(rows):
             return
+        k = self.k
         score = np.concatenate([
-            np.einsum("ij,ij->i", self.units[rows[r[i:i + SCORED_AT_ONCE]]], units[c[i:i + SCORED_AT_ONCE]])
-            for i in range(0, len(r), SCORED_AT_ONCE)
+            np.einsum("ij,ij->i", self.units[rows[i:i + SCORED_AT_ONCE]], units[c[i:i + SCORED_AT_ONCE]])
+            for i in range(0, len(rows), SCORED_AT_ONCE)
         ]).round(DECIMALS)
-        kept = score >= self.scores[rows[r], -1]
-        r, c, score = r[kept], c[kept], score[kept]
-        met = np.unique(r)
-        row = np.concatenate([np.repeat(met, k), r])
-        scores = np.concatenate([self.scores[rows[met]].ravel(), score])
-        items = np.concatenate([self.items[rows[met]].ravel(), ids[c]])
+        kept = score >= self.scores[rows, -1]
+        rows, c, score = rows[kept], c[kept], score[kept]
+        met = np.unique(rows)
+        row = np.concatenate([np.repeat(met, k), rows])
+        scores = np.concatenate([self.scores[met].ravel(), score])
+        items = np.concatenate([self.items[met].ravel(), ids[c]])
         ranked = np.lexsort((items, -scores, row))
-        first = ranked[np.arange(len(row)) - np.searchsorted(row[ranked], row[ranked]) < k]
-        self.scores[rows[met]], self.items[rows[met]] = scores[first].reshape(-1, k), items[first].reshape(-1, k)
+        row = row[ranked]
+        first = ranked[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        self.scores[met], self.items[met] = scores[first].reshape(-1, k), items[first].reshape(-1, k)
 
     def lists(self) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(self.ids), LISTS):
